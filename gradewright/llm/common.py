@@ -77,8 +77,10 @@ def skew_join(left: DataFrame, groups: DataFrame, keys: list[str], size: str, li
     values = [c for c in groups.columns if c not in keys]
     hot = groups.filter(F.col(size) > limit).select(
         *[F.col(k).alias(f"__hot_{k}") for k in keys], F.struct(*values).alias("__hot"))
+    # -1, but not a constant to the optimizer, which would drop it from the keys of the shuffle
+    cold_salt = (F.least(F.col(size), F.lit(0)) - 1).cast("long")
     cold = groups.filter(F.col(size) <= limit).select(
-        *[F.col(k).alias(f"__cold_{k}") for k in keys], F.struct(*values).alias("__cold"), F.lit(-1).cast("long").alias("__cold_salt"))
+        *[F.col(k).alias(f"__cold_{k}") for k in keys], F.struct(*values).alias("__cold"), cold_salt.alias("__cold_salt"))
     on = [F.col(k) == F.col(f"__hot_{k}") for k in keys]
     tagged = left.join(F.broadcast(hot), on, "left")
     is_hot = F.col("__hot").isNotNull()
