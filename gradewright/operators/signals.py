@@ -1,0 +1,102 @@
+"""Gate signals (higher is healthier), their composition to a gate verdict, and the verdict fold."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from gradewright.sources.domain import bindings, hyp
+
+DIAGONAL = 1000.0
+#: Fixed values: (signal, ungradeable below, degraded below, required) of the default policy.
+POLICY = (("permanence", 0.5, 0.8, True), ("binding_health", 0.2, 0.5, True), ("motion_sanity", None, 0.2, False))
+MOVES, SPREAD = 0.2, 0.06
+
+
+def _signal(df: DataFrame, name: str, value: Column, ok: Column) -> DataFrame:
+    ok = F.coalesce(ok, F.lit(False))
+    return df.select("rollout_id", F.lit(name).alias("signal"), F.when(ok, "ok").otherwise("evidence_missing").alias("status"), F.when(ok, value).alias("value"))
+
+
+def binding_health(tracks: DataFrame) -> DataFrame:
+    b = bindings(tracks).groupBy("rollout_id").agg(
+        F.bool_and(F.when(F.col("required"), F.col("bound"))).alias("all_bound"), F.min(F.when(F.col("required"), F.col("quality"))).alias("q"))
+    return _signal(b, "binding_health", F.col("q"), F.col("all_bound"))
+
+
+def permanence(tracks: DataFrame) -> DataFrame:
+    """The least running mean of visibility over the early level, the worst bound role of four or more samples; 1 without decline."""
+    r = tracks.groupBy("rollout_id", "role").agg(F.array_sort(F.collect_list(F.struct("t", "vis"))).alias("a"), F.count("x").alias("seen"))
+    r = r.withColumn("v", F.transform("a", lambda s: s["vis"])).withColumn("n", F.size("v")).withColumn("k", F.greatest(F.lit(2), F.expr("n div 10")))
+    mean = lambda start: F.aggregate(F.slice("v", start, F.col("k")), F.lit(0.0), lambda s, x: s + x) / F.col("k")
+    r = r.withColumn("early", mean(F.lit(1)))
+    tail = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - F.col("k") + 1)), mean))
+    ratio = F.when(F.col("early") <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail / F.col("early"))))
+    fit = (F.col("seen") > 0) & (F.col("n") >= 4)
+    s = r.groupBy("rollout_id").agg(F.min(F.when(fit, ratio)).alias("v"))
+    return _signal(s, "permanence", F.col("v"), F.col("v").isNotNull())
+
+
+def motion_sanity(tracks: DataFrame) -> DataFrame:
+    w = Window.partitionBy("rollout_id", "role").orderBy("t")
+    step = hyp(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
+    t = tracks.withColumn("moves", F.coalesce(step > MOVES, F.lit(False))).filter("t > 0")
+    per_t = t.groupBy("rollout_id", "t").agg(F.bool_or("moves").alias("moves"))
+    s = per_t.groupBy("rollout_id").agg(F.least(F.lit(1.0), 2 * F.avg(F.col("moves").cast("double"))).alias("v"))
+    return _signal(s, "motion_sanity", F.col("v"), F.col("v").isNotNull())
+
+
+def track_continuity(tracks: DataFrame) -> DataFrame:
+    """Steps run over observed points alone, so gaps collapse; the 99th percentile of the worst role."""
+    w = Window.partitionBy("rollout_id", "role").orderBy("t")
+    o = tracks.filter("x is not null")
+    o = o.withColumn("step", hyp(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
+    r = o.groupBy("rollout_id", "role").agg(F.percentile("step", 0.99).alias("p"), F.count("*").alias("n")).filter("n >= 4")
+    s = r.groupBy("rollout_id").agg(F.min(F.exp(-F.col("p") / (SPREAD * DIAGONAL))).alias("v"))
+    return _signal(s, "track_continuity", F.col("v"), F.col("v").isNotNull())
+
+
+def action_consistency(frames: DataFrame, chunk: int = 8) -> DataFrame:
+    """Median cosine of commanded and observed motion over chunks; the last full chunk is left out, displacement spans chunk - 1 steps."""
+    w = Window.partitionBy("rollout_id").orderBy("t")
+    sign = F.when(F.col("rollout_id") % 2 == 1, -1.0).otherwise(1.0)
+    f = frames.withColumn("ax", sign * (F.col("gx") - F.lag("gx").over(w))).withColumn("ay", sign * (F.col("gy") - F.lag("gy").over(w)))
+    f = f.withColumn("n", F.count("*").over(Window.partitionBy("rollout_id"))).withColumn("c", F.expr(f"t div {chunk}"))
+    g = f.filter(F.col("c") * chunk < F.col("n") - chunk).groupBy("rollout_id", "c").agg(
+        F.sum(F.coalesce("ax", F.lit(0.0))).alias("cx"), F.sum(F.coalesce("ay", F.lit(0.0))).alias("cy"),
+        (F.max_by("gx", "t") - F.min_by("gx", "t")).alias("dx"), (F.max_by("gy", "t") - F.min_by("gy", "t")).alias("dy"))
+    cn, dn = hyp(F.col("cx"), F.col("cy")), hyp(F.col("dx"), F.col("dy"))
+    g = g.withColumn("cos", F.when((cn >= 1e-3) & (dn >= 1e-6), (F.col("cx") * F.col("dx") + F.col("cy") * F.col("dy")) / (cn * dn)))
+    s = g.groupBy("rollout_id").agg(F.median("cos").alias("m"), F.count("cos").alias("k"))
+    return _signal(s, "action_consistency", (F.col("m") + 1) / 2, F.col("k") >= 3)
+
+
+def all_signals(tracks: DataFrame) -> DataFrame:
+    return binding_health(tracks).unionByName(permanence(tracks)).unionByName(motion_sanity(tracks))
+
+
+def compose_gate(signals: DataFrame, unbound: DataFrame) -> DataFrame:
+    """rollout_id, gate: the greatest severity of missing or low signals and of unbound required roles.
+
+    The policy has a row a signal (a literal of three rows), so its join is a broadcast of fixed size.
+    """
+    spark = signals.sparkSession
+    policy = spark.createDataFrame([*POLICY], "signal string, low double, mid double, required boolean")
+    s = signals.join(F.broadcast(policy), "signal", "left")
+    severity = F.when(F.col("status") != "ok", F.when(F.coalesce("required", F.lit(False)), 2).otherwise(1)).when(
+        F.col("value") < F.col("low"), 2).when(F.col("value") < F.col("mid"), 1).otherwise(0)
+    s = s.select("rollout_id", severity.alias("severity")).unionByName(unbound.select("rollout_id", F.lit(2).alias("severity")))
+    return s.groupBy("rollout_id").agg(F.max("severity").alias("s")).select(
+        "rollout_id", F.element_at(F.array(F.lit("gradeable"), F.lit("degraded"), F.lit("ungradeable")), F.col("s") + 1).alias("gate"))
+
+
+def unbound_required(tracks: DataFrame) -> DataFrame:
+    return bindings(tracks).groupBy("rollout_id").agg(F.bool_and(F.when(F.col("required"), F.col("bound"))).alias("b"),
+                                                      F.array_join(F.array_sort(F.collect_list(F.when(F.col("required") & ~F.col("bound"), F.col("role")))), ",").alias("missing")).filter("not b")
+
+
+def fold(values: Column) -> Column:
+    """Votes of the eligible channels (array of value or null): pass, fail, or abstain without votes or with a conflict."""
+    votes = F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    yes, no = F.exists(votes, lambda v: v >= 0.5), F.exists(votes, lambda v: v < 0.5)
+    return F.when(yes & ~no, "pass").when(no & ~yes, "fail").otherwise("abstain")

@@ -1,11 +1,32 @@
-"""All queries of the evaluation engine with their SQL."""
+"""All queries of the evaluation engine with their SQL. Doubles are rounded to six digits on both sides for comparison."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import evaluation, motion, reporting, statistics, tables
+
+MODULES = (evaluation, motion, tables, statistics, reporting)
+
+
+def _rounded(fn):
+    def run(spark, sf_dir):
+        df = fn(spark, sf_dir)
+        return df.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+    return run
+
 
 def queries() -> dict:
-    return {}
+    return {name: _rounded(fn) for m in MODULES for name, fn in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from gradewright.sources.domain import CTES
+
+    out = {}
+    for m in MODULES:
+        for name, (doubles, sql) in m.ORACLES.items():
+            swap = ", ".join(f"round({c}::DOUBLE, 6) + 0.0::DOUBLE AS {c}" for c in doubles.split())
+            out[name] = f"WITH {CTES},\nresult AS ({sql})\nSELECT * {f'REPLACE ({swap})' if swap else ''} FROM result"
+    return out
