@@ -119,4 +119,5 @@ def op10_quality(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs (any further columns) that the rules keep."""
-    return measured(docs).filter("__q_kept").select(*docs.columns)
+    # the row number keeps the filter above the projection: pushed below, it would repeat every expression at each of its uses
+    return measured(docs).withColumn("__q_row", F.monotonically_increasing_id()).filter("__q_kept and __q_row >= 0").select(*docs.columns)
