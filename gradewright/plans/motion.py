@@ -7,22 +7,28 @@ from pyspark.sql import functions as F
 
 from gradewright.sources import domain as D
 
-ROLE = Window.partitionBy("rollout_id", "role")
-BY_T = ROLE.orderBy("t")
+
+def _role():
+    return Window.partitionBy("rollout_id", "role")
+
+
+def _by_t():
+    return _role().orderBy("t")
+
 
 
 def steps(t):
-    return t.withColumn("step", D.hyp(F.col("x") - F.lag("x").over(BY_T), F.col("y") - F.lag("y").over(BY_T)))
+    return t.withColumn("step", D.hyp(F.col("x") - F.lag("x").over(_by_t()), F.col("y") - F.lag("y").over(_by_t())))
 
 
 def running_mean(t, k=3):
-    m = F.avg("vis").over(BY_T.rowsBetween(-(k - 1), 0))
-    return t.select("rollout_id", "role", "t", m.alias("m"), F.row_number().over(BY_T).alias("r")).filter(F.col("r") >= k).drop("r")
+    m = F.avg("vis").over(_by_t().rowsBetween(-(k - 1), 0))
+    return t.select("rollout_id", "role", "t", m.alias("m"), F.row_number().over(_by_t()).alias("r")).filter(F.col("r") >= k).drop("r")
 
 
 def interpolated(t):
     """Linear between observed samples, null outside the observed span."""
-    before, after = BY_T.rowsBetween(Window.unboundedPreceding, 0), BY_T.rowsBetween(0, Window.unboundedFollowing)
+    before, after = _by_t().rowsBetween(Window.unboundedPreceding, 0), _by_t().rowsBetween(0, Window.unboundedFollowing)
     seen = F.when(F.col("x").isNotNull(), F.struct("t", "x"))
     d = t.withColumn("p", F.last(seen, ignorenulls=True).over(before)).withColumn("n", F.first(seen, ignorenulls=True).over(after))
     x = F.when(F.col("p.t") == F.col("n.t"), F.col("p.x")).otherwise(F.col("p.x") + (F.col("n.x") - F.col("p.x")) * (F.col("t") - F.col("p.t")) / (F.col("n.t") - F.col("p.t")))
@@ -33,7 +39,7 @@ def held(t, stride=3):
     """Each sample (every stride-th frame) holds until the next one."""
     s = t.filter(F.col("t") % stride == 0).select("rollout_id", "role", "t", "vis")
     n = t.groupBy("rollout_id", "role").agg(F.count("*").alias("n"))
-    s = s.withColumn("next", F.lead("t").over(BY_T)).join(n, ["rollout_id", "role"])
+    s = s.withColumn("next", F.lead("t").over(_by_t())).join(n, ["rollout_id", "role"])
     return s.select("rollout_id", "role", "vis", F.explode(F.sequence("t", F.coalesce("next", F.col("n").cast("int")) - 1)).alias("t"))
 
 
@@ -45,7 +51,7 @@ def motion_check(t, diagonal=1000.0):
 
 
 def settle(t):
-    n = F.count("*").over(ROLE)
+    n = F.count("*").over(_role())
     late = F.col("t") >= F.floor(F.col("n") * 0.8)
     g = t.withColumn("n", n).groupBy("rollout_id", "role").agg(*[F.coalesce(F.avg(F.when(late, F.col(c))), F.avg(c)).alias(c) for c in ("x", "y")])
     return g
@@ -72,9 +78,9 @@ def velocity_correlation(spark, sf):
 def normalised(t):
     """Unobserved points dropped, first point subtracted, divided by the greatest coordinate; nothing for under two points."""
     o = t.filter("x is not null")
-    o = o.withColumn("x0", F.first("x").over(BY_T)).withColumn("y0", F.first("y").over(BY_T)).withColumn("n", F.count("*").over(ROLE))
+    o = o.withColumn("x0", F.first("x").over(_by_t())).withColumn("y0", F.first("y").over(_by_t())).withColumn("n", F.count("*").over(_role()))
     o = o.withColumn("x", F.col("x") - F.col("x0")).withColumn("y", F.col("y") - F.col("y0"))
-    top = F.greatest(F.lit(1e-6), F.max(F.greatest(F.abs("x"), F.abs("y"))).over(ROLE))
+    top = F.greatest(F.lit(1e-6), F.max(F.greatest(F.abs("x"), F.abs("y"))).over(_role()))
     return o.filter("n >= 2").select("rollout_id", "role", "t", (F.col("x") / top).alias("x"), (F.col("y") / top).alias("y"))
 
 
@@ -104,7 +110,7 @@ def dtw_demo(spark, sf):
 
 def minted(t):
     """Negatives as remaps of time: reversed, frozen at 35 %, truncated at 45 %, stalled on the first 15 %."""
-    n = F.count("*").over(ROLE).cast("int")
+    n = F.count("*").over(_role()).cast("int")
     d = t.filter("role = 'click'").withColumn("n", n)
     at = lambda share: F.greatest(F.lit(1), F.floor(F.col("n") * share).cast("int"))
     rev = d.select(F.lit("reversed").alias("kind"), "rollout_id", (F.col("n") - 1 - F.col("t")).alias("t"), "x")
@@ -146,7 +152,7 @@ def _t(fn, *a, **k):
 
 def early_late(t):
     """Bind rate, and mean visibility of the windows [0, 5 %), [30, 50 %) and [80, 100 %], a policy and role, with the early to late drop."""
-    d = t.withColumn("u", F.col("t") / F.count("*").over(ROLE))
+    d = t.withColumn("u", F.col("t") / F.count("*").over(_role()))
     u, v = F.col("u"), F.col("vis")
     r = d.groupBy("policy", "rollout_id", "role").agg((F.count("x") / F.count("*")).alias("rate"), F.avg(F.when(u < 0.05, v)).alias("e"), F.avg(F.when((u >= 0.3) & (u < 0.5), v)).alias("m"), F.avg(F.when(u >= 0.8, v)).alias("l"))
     return r.groupBy("policy", "role").agg(F.avg("rate").alias("rate"), F.avg("e").alias("early"), F.avg("m").alias("mid"), F.avg("l").alias("late"), F.avg(F.col("e") - F.col("l")).alias("drop_"))
