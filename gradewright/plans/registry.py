@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import evaluation, motion, reporting, statistics, tables
+from . import evaluation, frames, motion, reporting, statistics, tables
 
-MODULES = (evaluation, motion, tables, statistics, reporting)
+MODULES = (evaluation, motion, tables, statistics, reporting, frames)
 
 
 def _rounded(fn):
