@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewright.operators import linking, pixels
+from gradewright.operators import induction, linking, pixels
 from gradewright.operators.signals import DIAGONAL
 from gradewright.sources import domain as D
 from gradewright.streaming import windows
 
 #: The views' frames, ours: a column of pixels a role, WIDTH x HEIGHT; masks of two roles.
 ROLES = ("click", "error", "purchase", "signup", "view")
-WIDTH, HEIGHT, AREA, NEAR = len(ROLES), 4, 2, 1
+WIDTH, HEIGHT, AREA, NEAR, MOVING = len(ROLES), 4, 2, 1, 0.2
 
 
 def _tracks(s, d) -> DataFrame:
@@ -65,6 +65,7 @@ QUERIES = {
     "g4_background_drift": lambda s, d: pixels.background_drift(pixel_rows(s, d), masks(s, d), sizes(s, d), NEAR),
     "r1_colour_bindings": lambda s, d: pixels.colour_bindings(pixels.centroids(masks(s, d)), sizes(s, d).select("rollout_id", "n")),
     "r1_colour_visibility": lambda s, d: pixels.colour_visibility(pixels.centroids(masks(s, d))),
+    "r6_relational_roles": lambda s, d: induction.roles(D.tracks(s, d).withColumnRenamed("role", "entity_name").withColumn("entity", F.array_position(F.array(*map(F.lit, ROLES)), F.col("entity_name")).cast("int") - 1), ["rollout_id"], DIAGONAL, MOVING),
     "s16_sparkline": sparkline,
     "t1_tumbling": _windowed(lambda e: windows.tumbling(e, ["user_id"], "8 hours")),
     "t2_sliding": _windowed(lambda e: windows.sliding(e, ["user_id"], "5 hours", "2 hours")),
@@ -100,6 +101,19 @@ okk AS (SELECT rollout_id, late, coalesce(n >= {pixels.LEAST_FRAMES} AND backgro
 SELECT rollout_id, 'background_drift' AS signal, CASE WHEN ok THEN 'ok' ELSE 'evidence_missing' END AS status, CASE WHEN ok THEN exp(-late / {pixels.SCALE}) END AS value FROM okk"""),
     "r1_colour_bindings": ("quality", f"WITH {_PX} SELECT rollout_id, role, min(t) < greatest(3, any_value(n) // 20) AS bound, count(DISTINCT t)::DOUBLE / any_value(n) AS quality FROM ca JOIN sz USING (rollout_id) GROUP BY ALL"),
     "r1_colour_visibility": ("visibility", f"WITH {_PX} SELECT rollout_id, role, t, area::DOUBLE / max(area) OVER (PARTITION BY rollout_id, role) AS visibility FROM ca"),
+    "r6_relational_roles": ("", f"""WITH {_PX}, n AS (SELECT rollout_id, max(t) + 1 AS n FROM tracks GROUP BY 1),
+o AS (SELECT rollout_id, px AS e, a.t, x, y, t >= floor(n * {induction.SETTLED}::DOUBLE) AS late FROM tracks a JOIN tk USING (rollout_id, role, t) JOIN n USING (rollout_id)),
+st AS (SELECT rollout_id, e, coalesce(avg(x) FILTER (late), avg(x)) AS fx, coalesce(avg(y) FILTER (late AND x IS NOT NULL), avg(y)) AS fy, bool_or(late) AS late,
+  sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2)) >= {MOVING * DIAGONAL} AS mover FROM o WHERE x IS NOT NULL GROUP BY ALL),
+pr AS (SELECT m.rollout_id, arg_min({{'m': m.e, 's': s.e}}, (sqrt(pow(m.fx - s.fx, 2) + pow(m.fy - s.fy, 2)), m.e, s.e)) AS b FROM st m JOIN st s ON m.rollout_id = s.rollout_id AND m.mover AND NOT s.mover GROUP BY 1),
+vl AS (SELECT rollout_id, e, t, coalesce(x, 0) - lag(coalesce(x, 0)) OVER w AS dx, coalesce(y, 0) - lag(coalesce(y, 0)) OVER w AS dy FROM o WINDOW w AS (PARTITION BY rollout_id, e ORDER BY t)),
+cr AS (SELECT a.rollout_id, a.e, sum(a.dx * c.dx + a.dy * c.dy) / nullif(sqrt(sum(a.dx * a.dx + a.dy * a.dy)) * sqrt(sum(c.dx * c.dx + c.dy * c.dy)), 0) AS r
+  FROM vl a JOIN pr ON a.rollout_id = pr.rollout_id JOIN vl c ON c.rollout_id = a.rollout_id AND c.t = a.t AND c.e = pr.b.m WHERE a.e <> pr.b.m GROUP BY ALL),
+ef AS (SELECT rollout_id, arg_min(e, (-coalesce(r, 0), e)) AS e FROM cr JOIN st USING (rollout_id, e) WHERE mover GROUP BY 1)
+SELECT q.rollout_id, pr.b.m AS carried, pr.b.s AS receptacle, ef.e AS effector,
+  coalesce(h.late AND c.late AND sqrt(pow(h.fx - c.fx, 2) + pow(h.fy - c.fy, 2)) < {induction.SEPARATE}, false) AS ambiguous
+FROM (SELECT DISTINCT rollout_id FROM st) q LEFT JOIN pr ON pr.rollout_id = q.rollout_id LEFT JOIN ef ON ef.rollout_id = q.rollout_id
+LEFT JOIN st h ON h.rollout_id = q.rollout_id AND h.e = ef.e LEFT JOIN st c ON c.rollout_id = q.rollout_id AND c.e = pr.b.m"""),
     "s16_sparkline": ("u", """WITH o AS (SELECT rollout_id, t, x, min(x) OVER w AS lo, max(x) OVER w AS hi, count(*) OVER w AS n FROM tracks WHERE role = 'view' AND x IS NOT NULL WINDOW w AS (PARTITION BY rollout_id))
 SELECT rollout_id, (row_number() OVER (PARTITION BY rollout_id ORDER BY t) - 1)::INT AS i, CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE 0 END AS u FROM o WHERE n >= 2"""),
     "t1_tumbling": ("mean", _window_sql("SELECT *, time_bucket(INTERVAL 8 hours, ts::TIMESTAMP, TIMESTAMP '1970-01-01') AS b FROM events", "b + INTERVAL 8 hours")),
