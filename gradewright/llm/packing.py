@@ -27,6 +27,8 @@ CAPACITY = 2048
 CACHE = 400_000
 NONE = np.int64(1 << 40)
 _PLAIN = re.compile(r"[\x21-\x7E\xA1-\xAC\xAE-\xFF]+")
+# one match a line: (word, mark) of a lower-case part that is one Latin-1 word and at most one mark, else two empty strings
+_WORD = re.compile(r"^(?:([a-z\xAA\xB5\xBA\xDF-\xF6\xF8-\xFF]+)([.,]?)$|.*$)", re.MULTILINE)
 _engines: dict[str, WordCache] = {}
 
 
@@ -60,6 +62,7 @@ class WordCache:
         order = np.argsort(key, kind="stable")
         self.pair_keys, self.pair_ranks = key[order], order
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
+        self.first = self.ranks(np.repeat(self.inner, 512), np.tile(np.r_[self.inner, self.final], 256)).reshape(256, 512)
         self.words: dict[str, bytes] = {}
         self.ids: dict[str, bytes] = {}
 
@@ -83,7 +86,9 @@ class WordCache:
         token[last] = self.final[raw[last]]
         word = np.repeat(np.arange(len(words)), lengths)
         rank = np.full(len(raw), NONE)
-        rank[:-1] = np.where(word[1:] == word[:-1], self.ranks(token[:-1], token[1:]), NONE)
+        right = raw.astype(np.int64)
+        right[last] += 256
+        rank[:-1] = np.where(word[1:] == word[:-1], self.first[raw[:-1], right[1:]], NONE)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(word):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
@@ -110,24 +115,35 @@ class WordCache:
         return [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
     def learn(self, parts: list[str]) -> None:
-        split = {p: self.split.findall(p.lower()) for p in parts if p and _PLAIN.fullmatch(p)}
+        found = _WORD.findall("\n".join(parts).lower())
+        split = {p: self.split.findall(p.lower()) for p, f in zip(parts, found) if p and not f[0] and _PLAIN.fullmatch(p)}
         if len(self.words) > CACHE:
             self.words = {}
-        lack = list({w for ws in split.values() for w in ws} - self.words.keys())
+        need = {".", ","}
+        need.update(f[0] for f in found)
+        need.update(*split.values())
+        need.discard("")
+        lack = list(need - self.words.keys())
         if lack:
             self.words.update(zip(lack, self.merge([w.encode() for w in lack])))
+        words, ids = self.words, self.ids
+        marks = {"": b"", ".": words["."], ",": words[","]}
+        ids.update({p: words[f[0]] + marks[f[1]] for p, f in zip(parts, found) if f[0]})
         for p, ws in split.items():
-            self.ids[p] = self.words[ws[0]] if len(ws) == 1 else b"".join([self.words[w] for w in ws])
-        rest = [p for p in parts if p not in split]
+            ids[p] = b"".join([words[w] for w in ws])
+        rest = [p for p, f in zip(parts, found) if not f[0] and p not in split]
         for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
-            self.ids[p] = np.array(e.ids, "<u4").tobytes()
+            ids[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without the end mark."""
         parts = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.ids) > CACHE:
             self.ids = {}
-        lack = list({w for p in parts for w in p} - self.ids.keys())
+        seen: set[str] = set()
+        for p in parts:
+            seen.update(p)
+        lack = list(seen - self.ids.keys())
         if lack:
             self.learn(lack)
         get = self.ids.__getitem__
