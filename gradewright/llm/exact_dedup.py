@@ -21,7 +21,9 @@ BLOCK = 8192
 def _named(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """rows with `name`, the least `bid` (unique in rows) among those that are equal in keys."""
     groups = rows.groupBy(*keys).agg(F.min("bid").alias("name"), F.count("*").alias("__copies"))
-    return skew_join(rows, groups, keys, "__copies", limit, "bid").drop(*keys, "__copies")
+    # a row without an equal names itself: its content need not be sent to the join a second time
+    joined = skew_join(rows, groups.filter("__copies > 1"), keys, "__copies", limit, "bid")
+    return joined.withColumn("name", F.coalesce("name", "bid")).drop(*keys, "__copies")
 
 
 def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
