@@ -1,28 +1,32 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by windows around shared minimisers.
 
-Words are runs of anything but ASCII white space, A-Z lower-cased. A suffix is kept where the hash of its first GRAM
+Words are runs of anything but ASCII white space, A-Z lower-cased. A place is kept where the hash of its first GRAM
 words is least among WINDOW neighbours (a minimiser), so every passage of PASSAGE words has one inside, at the same
-place in every copy. Suffixes whose first GRAM words stand in one document only are dropped; the others carry REACH
-words to either side, are range-sorted by what follows, and compared with up to NEIGHBOURS on either side in the sorted
-order; a match is extended right and left, and counts from PASSAGE words on. The rows at the ends of the sorted
-partitions meet once more in a small second pass. Intervals of one document are united, so long passages come whole.
+place in every copy. Places whose first GRAM words stand in one document only are dropped. Where the PASSAGE words to
+either side of a place (less at the ends of the text) stand in another document as a whole, they are repeated. Of all other
+places, and of one such place each, every window of PASSAGE words that holds the GRAM words is looked up by its hash,
+however many documents share it. Intervals of one document are united, so long passages come whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hot_limit, materialize, skew_join
 from .exact_dedup import with_uid
 
 PASSAGE, GRAM, WINDOW = 50, 16, 32
-REACH, NEIGHBOURS, BYTES = 50, 4, 3
+#: A window may start at a place or up to so many words before it.
+BEFORE = PASSAGE - GRAM
+#: Of the window hashes; odd, so it has an inverse mod 2 ** 64.
+BASE = 0xD6E8FEB86659FD93
+CHUNK = 100_000
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -59,106 +63,83 @@ def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at]
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        uid, pos, gram = [], [], []
-        for u, t in zip(b.column(0).to_pylist(), b.column(1)):
-            at, g = minimisers(word_hashes(t.as_py()))
-            uid.append(np.full(len(at), u, np.int64))
-            pos.append(at)
-            gram.append(g)
-        if uid:
-            yield pa.record_batch([pa.array(np.concatenate(uid)), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(gram).view(np.int64))], ["uid", "pos", "gram"])
+def powers(n: int, base: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) mod 2 ** 64."""
+    return np.cumprod(np.r_[np.uint64(1), np.full(max(n - 1, 0), base, np.uint64)], dtype=np.uint64)[:n]
 
 
-def contexts(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each position: the REACH words from it on, and the REACH words before it backwards, as BYTES bytes a word; zero beyond the text."""
-    w = (h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :BYTES] | np.array([0] * (BYTES - 1) + [1], np.uint8)) if len(h) else np.zeros((0, BYTES), np.uint8)
-    padded = np.concatenate([np.zeros((REACH, BYTES), np.uint8), w, np.zeros((REACH, BYTES), np.uint8)])
-    right = padded[at[:, None] + REACH + np.arange(REACH)]
-    left = padded[at[:, None] + REACH - 1 - np.arange(REACH)]
-    return right.reshape(len(at), -1), left.reshape(len(at), -1)
+def range_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray, origin: np.ndarray) -> np.ndarray:
+    """Hashes of the words first .. last - 1 of a text, each word by its place relative to origin."""
+    sums = np.r_[np.uint64(0), np.cumsum(h * powers(len(h), BASE), dtype=np.uint64)]
+    x = (sums[last] - sums[first]) * powers(len(h) + 1, pow(BASE, -1, 1 << 64))[origin]
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(29)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for u, t, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-            at = np.array(at.as_py(), np.int64)
+        columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+        for u, t in zip(b.column(0).to_pylist(), b.column(1)):
             h = word_hashes(t.as_py())
-            for some in np.array_split(at, len(at) // 5000 + 1):
-                right, left = contexts(h, some)
-                yield pa.record_batch([pa.array(np.full(len(some), u, np.int64)), pa.array(some.astype(np.int32)),
-                                       pa.array([x.tobytes() for x in right], pa.binary()), pa.array([x.tobytes() for x in left], pa.binary())], ["uid", "pos", "after", "before"])
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many leading words rows of a and b share; zero words (beyond the text) are equal to none."""
-    a, b = a.reshape(len(a), REACH, BYTES), b.reshape(len(b), REACH, BYTES)
-    same = (a == b).all(axis=2) & a.any(axis=2)
-    return np.where(same.all(axis=1), REACH, np.argmin(same, axis=1))
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes -> matches (uid, first, last) and, with edge set, the first and last NEIGHBOURS rows of the partition."""
-    names = ["uid", "pos", "after", "before"]
-    rest: pa.Table | None = None
-    head: pa.Table | None = None
-
-    def matches(t: pa.Table) -> pa.RecordBatch | None:
-        n = len(t)
-        uid, pos = t.column(0).to_numpy(), t.column(1).to_numpy().astype(np.int64)
-        after = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(n, -1)
-        before = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint8).reshape(n, -1)
-        out = []
-        for d in range(1, min(NEIGHBOURS, n - 1) + 1):
-            i = np.flatnonzero(uid[:-d] != uid[d:])
-            r, l = _common(after[i], after[i + d]), _common(before[i], before[i + d])  # noqa: E741
-            ok = (r + l >= PASSAGE) & (r >= 1)
-            for j in (i[ok], i[ok] + d):
-                out.append(np.stack([uid[j], pos[j] - l[ok], pos[j] + r[ok]]))
-        if not out:
-            return None
-        m = np.unique(np.concatenate(out, axis=1), axis=1)
-        k = m.shape[1]
-        return pa.record_batch([pa.array(m[0]), pa.array(m[1].astype(np.int32)), pa.array(m[2].astype(np.int32)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(np.zeros(k, bool))],
-                               ["uid", "first", "last", "after", "before", "edge"])
-
-    def edges(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        c = [t.column(i).combine_chunks() if isinstance(t.column(i), pa.ChunkedArray) else t.column(i) for i in range(4)]
-        return pa.record_batch([c[0], c[1], c[1], c[2], c[3], pa.array(np.ones(len(t), bool))], ["uid", "first", "last", "after", "before", "edge"])
-
+            at, g = minimisers(h)
+            if len(at):
+                first, last = np.maximum(at - PASSAGE, 0), np.minimum(at + PASSAGE, len(h))
+                around = range_hashes(h, first, last, at)
+                for c, x in zip(columns, (np.full(len(at), u, np.int64), at.astype(np.int32), g.view(np.int64), around.view(np.int64), (at - first).astype(np.int8), (last - at).astype(np.int8))):
+                    c.append(x)
+        if columns[0]:
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], ["uid", "pos", "gram", "around", "before", "after"])
+
+
+def holding(n: int, at: np.ndarray) -> np.ndarray:
+    """Of each start of a window of a text of n words: whether the window holds the GRAM words at a place of `at`."""
+    n = n - PASSAGE + 1
+    steps = np.zeros(n + 1, np.int64)
+    np.add.at(steps, np.maximum(at - BEFORE, 0), 1)
+    np.add.at(steps, np.minimum(at, n - 1) + 1, -1)
+    return np.cumsum(steps)[:-1] > 0
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows at open and leading places but not at following ones, whose leading place gives the same."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b.select(names)])
-        if rest is not None:
-            t = pa.concat_tables([rest, t])
-        if head is None:
-            head = t.slice(0, NEIGHBOURS)
-        if (found := matches(t)) is not None:
-            yield found
-        rest = t.slice(max(0, len(t) - NEIGHBOURS))
-    if rest is not None:
-        yield edges(head)
-        yield edges(rest)
+        for u, t, *at in zip(b.column(0).to_pylist(), *(b.column(i) for i in range(1, 5))):
+            h = word_hashes(t.as_py())
+            open_, lead, follow = (holding(len(h), np.array(x.as_py(), np.int64)) for x in at)
+            start = np.flatnonzero((open_ | lead) & ~follow)
+            x = range_hashes(h, start, start + PASSAGE, start).view(np.int64)
+            for i in range(0, len(start), CHUNK):
+                some = start[i : i + CHUNK]
+                yield pa.record_batch([pa.array(np.full(len(some), u, np.int64)), pa.array(some.astype(np.int32)), pa.array(x[i : i + CHUNK]), pa.array(lead[some])], ["uid", "pos", "hash", "known"])
+
+
+def _by(rows: DataFrame, key: str, *more: Column) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Groups of rows (a written table) by key: their size n, least and greatest uid, further aggregates; and what joins rows with those groups that are left."""
+    rows = rows.withColumn("id", F.monotonically_increasing_id())
+    groups = rows.groupBy(key).agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi"), *more)
+    return groups, lambda g: skew_join(rows, g, [key], "n", hot_limit(rows.count()), "id").filter("n is not null").drop("id", "n")
 
 
 def repeated_intervals(docs: DataFrame) -> DataFrame:
     """docs (uid, text) -> uid, first, last: intervals of words that stand in another document too (end exclusive)."""
     text = docs.select("uid", "text")
-    suffixes = materialize(text.mapInArrow(_suffixes, "uid long, pos int, gram long"), "suffixes")
-    suffixes = suffixes.withColumn("id", F.monotonically_increasing_id())
-    grams = suffixes.groupBy("gram").agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi")).filter("lo < hi").drop("lo", "hi")
-    shared = skew_join(suffixes, grams, ["gram"], "n", hot_limit(suffixes.count()), "id").filter("n is not null")
-    places = shared.groupBy("uid").agg(F.sort_array(F.collect_list("pos")).alias("at"))  # bounded by the document itself
-    rows = text.join(places, "uid").select("uid", "text", "at").mapInArrow(_contexts, "uid long, pos int, after binary, before binary")
-    schema = "uid long, first int, last int, after binary, before binary, edge boolean"
-    ordered = rows.repartitionByRange("after", "before", "uid").sortWithinPartitions("after", "before", "uid")
-    found = materialize(ordered.mapInArrow(_compare, schema), "matches")
-    ends = found.filter("edge").select("uid", F.col("first").alias("pos"), "after", "before").distinct()  # 2 * NEIGHBOURS rows a partition
-    more = ends.repartitionByRange(1, "after", "before", "uid").sortWithinPartitions("after", "before", "uid").mapInArrow(_compare, schema)
-    return found.unionByName(more).filter("not edge").select("uid", "first", "last")
+    suffixes = materialize(text.mapInArrow(_suffixes, "uid long, pos int, gram long, around long, before byte, after byte"), "suffixes")
+    groups, joined = _by(suffixes, "gram")
+    places = materialize(joined(groups.filter("lo < hi").select("gram", "n")), "places")
+    # known places: their surroundings are another document's too; the document of least uid leads
+    groups, joined = _by(places, "around")
+    places = materialize(joined(groups.select("around", "n", "lo", (F.col("lo") < F.col("hi")).alias("known"))).drop("around"), "known")
+    known = places.filter("known").select("uid", (F.col("pos") - F.col("before")).alias("first"), (F.col("pos") + F.col("after")).alias("last"))
+    # of GRAM words that are known wherever they stand, nothing is left to find
+    groups, joined = _by(places.withColumnRenamed("lo", "leader"), "gram", F.min("known").alias("all_known"))
+    rest = joined(groups.filter("not all_known").select("gram", "n"))
+    at = lambda which: F.collect_list(F.expr(f"case when {which} then pos end"))
+    rest = rest.groupBy("uid").agg(at("not known").alias("open"), at("known and uid = leader").alias("lead"), at("known and uid > leader").alias("follow"))  # bounded by the document itself
+    windows = text.join(rest, "uid").select("uid", "text", "open", "lead", "follow").mapInArrow(_windows, "uid long, pos int, hash long, known boolean")
+    groups, joined = _by(materialize(windows, "windows"), "hash", F.max("known").alias("any_known"))
+    found = joined(groups.filter("lo < hi or any_known").select("hash", "n")).select("uid", F.col("pos").alias("first"), (F.col("pos") + PASSAGE).alias("last"))
+    return known.unionByName(found)
 
 
 def repeats(docs: DataFrame) -> DataFrame:

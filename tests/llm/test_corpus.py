@@ -289,3 +289,31 @@ def test_stages(spark, docs, tmp_path):
         assert out.count() <= docs.count()
     once = corpus_pipeline.exact(spark, d, "")
     assert once.count() == len({t.translate(LOWER) for _, t in local(docs)})
+
+
+def covered_words(rows):
+    """Words of each document of (doc_id, text) in a passage of 50 words that another document has too, by brute force."""
+    docs = [(d, [x.translate(LOWER) for x in WORD.findall(t)]) for d, t in rows]
+    owners = {}
+    for d, w in docs:
+        for i in range(len(w) - 49):
+            owners.setdefault(tuple(w[i : i + 50]), set()).add(d)
+    covered = {d: {j for i in range(len(w) - 49) if len(owners[tuple(w[i : i + 50])]) > 1 for j in range(i, i + 50)} for d, w in docs}
+    return {d: len(c) for d, c in covered.items() if c}
+
+
+def test_repeats_hot_line(spark, tmp_path):
+    """Pairs that share a passage whose last words stand in many other documents too, and repeat in the same document."""
+    rng = random.Random(11)
+    own = lambda n: " ".join(f"o{rng.randrange(10**9)}" for _ in range(n))
+    rows = []
+    for k in range(30):
+        line = " ".join(f"h{k % 2}_{i}" for i in range(40))
+        passage = f"{own(20 if k % 3 else 25)} {line}"
+        rows += [f"{own(70)} {passage} {own(60)}", f"{own(10)} {line} {own(33)} {passage} {own(5)} {line} {own(20)} {line} {own(30)}"]
+    rows += [f"{own(60)} {' '.join(f'h{k % 2}_{i}' for i in range(40))} {own(60)}" for k in range(600)]
+    rows = list(enumerate(rows))
+    d = exact_dedup.with_uid(written(spark, spark.createDataFrame(rows, "doc_id long, text string"), tmp_path))
+    want = covered_words(rows)
+    assert len(want) == 60
+    assert {r.doc_id: r.repeated_words for r in repeats.repeats(d).collect()} == want
