@@ -56,10 +56,12 @@ def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         top = np.maximum(top[:-step], top[step:])
         step *= 2
     at = np.flatnonzero(top == g)
-    # in a run of one hash (periodic text), one in GRAM and the last are enough
+    # in a run of one hash (periodic text), the first and the last in each GRAM words are enough: those kept stand at
+    # most max(GRAM, WINDOW) <= BEFORE words apart, so their windows are those of the whole run
     same = g[at[1:]] == g[at[:-1]]
-    run = np.arange(len(at)) - np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(at)), 0))
-    at = at[(run % GRAM == 0) | np.r_[~same, True]]
+    begin = at[np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(at)), 0))]
+    inside = same & (np.diff((at - begin) // GRAM) == 0)
+    at = at[~(np.r_[False, inside] & np.r_[inside, False])]
     return at, g[at]
 
 

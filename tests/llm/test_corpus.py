@@ -317,3 +317,16 @@ def test_repeats_hot_line(spark, tmp_path):
     want = covered_words(rows)
     assert len(want) == 60
     assert {r.doc_id: r.repeated_words for r in repeats.repeats(d).collect()} == want
+
+
+@pytest.mark.parametrize("period", [1, 7, 20, 40])
+def test_repeats_line_copies(spark, tmp_path, period):
+    """Copies of a text of one repeated line, whole and out of phase, and parts of copies that only partly match a known place."""
+    rng = random.Random(period)
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    line = own(period)
+    text, prose = line * (3000 // period), own(300)
+    rows = [text, text, own(9) + text[5:1500] + own(60), prose, prose, own(40) + prose[100:152] + own(40), own(3) + prose[120:175] + own(2) + prose[:49] + own(50) + prose[120:175]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    d = exact_dedup.with_uid(written(spark, spark.createDataFrame(rows, "doc_id long, text string"), tmp_path))
+    assert {r.doc_id: r.repeated_words for r in repeats.repeats(d).collect()} == covered_words(rows)
