@@ -5,7 +5,8 @@ the others revisit it. A record is text (headers and HTML in UTF-8) and the writ
 that ends a record, so the files are plain WARC; they are compressed whole with gzip, a standard codec of the writer.
 
 Reader: tasks look for the version line at every offset and emit candidate -> successor offsets. A payload may hold the
-same bytes, so candidates prove nothing; pointer jumping from offset 0 of each file keeps those on the chain.
+same bytes, so candidates prove nothing; pointer jumping from offset 0 of each file keeps those on the chain. A
+chain that does not end with its file is an error.
 """
 
 from __future__ import annotations
@@ -64,16 +65,16 @@ def write(pages: DataFrame, path: str) -> None:
 
 
 def _header(content: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
-    end = content.find(b"\r\n\r\n", at, at + (1 << 16))
-    if end < 0:
-        return None
+    """The fields of the header whose version line is at `at`, of any length, and its end; None where a line is no field (as another version line)."""
     fields = {}
-    for x in content[at:end].split(b"\r\n")[1:]:
-        name, colon, value = x.partition(b":")
-        if not colon:
+    at = content.find(b"\r\n", at) + 2
+    while (end := content.find(b"\r\n", at)) != at:
+        colon = content.find(b":", at, end) if end >= 0 else -1
+        if colon < 0:
             return None
-        fields[name.strip().lower()] = value.strip()
-    return fields, end + 4
+        fields[content[at:colon].strip().lower()] = content[colon + 1 : end].strip()
+        at = end + 2
+    return fields, at + 2
 
 
 def _number(value: bytes | None) -> int | None:
@@ -104,17 +105,21 @@ def candidates(content: bytes) -> Iterator[tuple]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
     for b in batches:
         for path, content in zip(b.column(0).to_pylist(), b.column(1)):
             content = content.as_py()
             if path.endswith(".gz"):
                 content = gzip.decompress(content)
-            if rows := list(candidates(content)):
+            rows = list(candidates(content))
+            if content and not (rows and rows[0][0] == 0):
+                raise ValueError(f"{path}: no record at its start")
+            rows = [(*x, len(content)) for x in rows]
+            if rows:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip([[path] * len(rows), *zip(*rows)], kinds)], _NAMES)
 
 
-_NAMES = ["file", "offset", "successor", "record_type", "page_id", "refers_to", "payload_bytes", "payload_digest"]
+_NAMES = ["file", "offset", "successor", "record_type", "page_id", "refers_to", "payload_bytes", "payload_digest", "file_bytes"]
 
 
 def on_chain(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
@@ -133,14 +138,17 @@ def on_chain(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
 
 def _chain(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("offset")
-    return rows[on_chain(rows["offset"].to_numpy(), rows["successor"].to_numpy())]
+    rows = rows[on_chain(rows["offset"].to_numpy(), rows["successor"].to_numpy())]
+    if rows["successor"].iloc[-1] != rows["file_bytes"].iloc[-1]:
+        raise ValueError(f"{rows['file'].iloc[0]}: records end at byte {rows['successor'].iloc[-1]} of {rows['file_bytes'].iloc[-1]}")
+    return rows
 
 
 def read(spark, path: str) -> DataFrame:
     """The records of the archives under path. A file is at most FILE_RECORDS records as `write` leaves it."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    schema = "file string, offset long, successor long, record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string"
-    return files.mapInArrow(_scan, schema).groupBy("file").applyInPandas(_chain, schema)
+    schema = "file string, offset long, successor long, record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string, file_bytes long"
+    return files.mapInArrow(_scan, schema).groupBy("file").applyInPandas(_chain, schema).drop("file_bytes")
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:

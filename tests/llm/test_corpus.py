@@ -330,3 +330,20 @@ def test_repeats_line_copies(spark, tmp_path, period):
     rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
     d = exact_dedup.with_uid(written(spark, spark.createDataFrame(rows, "doc_id long, text string"), tmp_path))
     assert {r.doc_id: r.repeated_words for r in repeats.repeats(d).collect()} == covered_words(rows)
+
+
+def test_warc_long_url(spark, tmp_path):
+    pages = [(i, f"http://x/{'y' * 100_000 * (i % 3 == 1)}", f"page {i}") for i in range(12)]
+    path = str(tmp_path / "w")
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    got = {r.page_id: r.payload_digest for r in warc.read(spark, path).collect()}
+    assert got == {i: hashlib.sha1(h.encode()).hexdigest() for i, _, h in pages}
+
+
+def test_warc_broken(spark, tmp_path):
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for name, content in (("a", record + b"junk"), ("b", b"junk" + record), ("c", b"junk")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "w.warc").write_bytes(content)
+        with pytest.raises(Exception, match="records end at byte|no record at its start"):
+            warc.read(spark, str(tmp_path / name)).collect()
