@@ -1,8 +1,10 @@
 """Secret scans (DataFrame functions only): fixed patterns, and a log-likelihood ratio of two character Markov models.
 
 The models, one of random strings and one of ordinary identifiers, are first-order chains over ALPHABET, trained from
-labelled samples with add-one smoothing. A candidate (20 or more characters, letters and digits both) is a secret if
-its log-likelihood ratio passes MIN_TOTAL and, a character, MIN_MEAN. Spans are code points, end exclusive.
+labelled samples with add-one smoothing. A candidate (20 or more characters; letters and digits both, or letters with
+CASE_CHANGES changes of case) is a secret if its log-likelihood ratio passes MIN_TOTAL and, a character, MIN_MEAN. In
+any other run the parts of highest ratio, widened to the next separators, are held to the same rules, so a name or path
+in front hides nothing. Spans are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET)
 MIN_TOTAL, MIN_MEAN = 6.0, 0.35
+LEAST, CASE_CHANGES = 20, 5
 SAMPLES, SEED = 3000, 7
 MASK = "<secret>"
 
@@ -94,6 +97,47 @@ def ratio(s: Column, table: Column) -> Column:
         lambda a, i: a + F.coalesce(F.get(table, F.get(c, i - 1) * (SIZE + 1) + F.get(c, i)), F.lit(0.0))))
 
 
+def rising_parts(s: Column, table: Column) -> Column:
+    """Parts (s, e) of a string, end exclusive, whose ratio is MIN_TOTAL or more; one ends where its ratio would fall by over MIN_TOTAL, or to zero. Widened to the next of = / _ -."""
+    start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(0.0).alias("run"), F.lit(0.0).alias("best"), F.expr("cast(array() as array<struct<s:int,e:int,best:double>>)").alias("out"))
+
+    def closed(a: Column) -> Column:
+        return F.when(a["best"] >= MIN_TOTAL, F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e"), a["best"].alias("best"))))).otherwise(a["out"])
+
+    def put(s: Column, e: Column, run: Column, best: Column, out: Column) -> Column:
+        return F.struct(s.alias("s"), e.alias("e"), run.alias("run"), best.alias("best"), out.alias("out"))
+
+    def found(c: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            run = a["run"] + F.coalesce(F.get(table, F.get(c, i - 1) * (SIZE + 1) + F.get(c, i)), F.lit(0.0))
+            return let(run, lambda x: F.when(x > a["best"], put(a["s"], i + 1, x, x, a["out"]))
+                       .when((x <= 0) | (x < a["best"] - MIN_TOTAL), put(i, i, F.lit(0.0), F.lit(0.0), closed(a))).otherwise(put(a["s"], a["e"], x, a["best"], a["out"])))
+
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), start, step, closed)
+
+    def widened(x: Column) -> Column:
+        left = F.length(F.regexp_extract(F.substring(s, F.lit(1), x["s"]), "[^=/_-]*$", 0))
+        right = F.length(F.regexp_extract(F.substring(s, x["e"] + 1, F.length(s)), "^[^=/_-]*", 0))
+        return F.struct((x["s"] - left).alias("s"), (x["e"] + right).alias("e"), x["best"].alias("best"))
+
+    def good(x: Column) -> Column:
+        n = x["e"] - x["s"]
+        return (n >= LEAST) & (x["best"] >= MIN_MEAN * n) & mixed(F.substring(s, x["s"] + 1, n))
+
+    def joined(a: Column, x: Column) -> Column:
+        last = F.get(a, F.size(a) - 1)
+        both = F.array(F.struct(F.least(last["s"], x["s"]).alias("s"), x["e"].alias("e")))
+        return F.when(last["e"] > x["s"], F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), both)).otherwise(F.concat(a, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+
+    parts = F.filter(F.transform(let(codes(s), found), widened), good)
+    return F.aggregate(parts, F.expr("cast(array() as array<struct<s:int,e:int>>)"), joined)
+
+
+def mixed(s: Column) -> Column:
+    """Letters and digits both, or letters that change their case often."""
+    return (s.rlike("[0-9]") & s.rlike("[A-Za-z]")) | (F.size(F.regexp_extract_all(s, F.lit("([a-z][A-Z]|[A-Z][a-z])"), F.lit(1))) >= CASE_CHANGES)
+
+
 def _span(start: Column, end: Column, kind: int) -> Column:
     return F.struct(start.cast("int").alias("s"), F.lit(kind).alias("k"), end.cast("int").alias("e"))
 
@@ -101,8 +145,8 @@ def _span(start: Column, end: Column, kind: int) -> Column:
 NO_SPANS = "cast(array() as array<struct<s:int,k:int,e:int>>)"
 
 
-def _matches(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans of the pattern's leftmost non-overlapping matches for which keep(match, its group 2) holds."""
+def _matches(text: Column, pattern: str, kind: int, keep, parts=None) -> Column:
+    """Spans of the pattern's leftmost non-overlapping matches for which keep(match, its group 2) holds; of others, of their parts(match)."""
     second = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == 0 else F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})" if kind else pattern), F.lit(1 if kind else 0))
     rows = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), whole.alias("m"), second.alias("g"))
@@ -112,7 +156,10 @@ def _matches(text: Column, pattern: str, kind: int, keep) -> Column:
         s = a["at"] + x["gap"]
         e = s + F.coalesce(F.length(x["m"]), F.lit(0))
         ok = x["m"].isNotNull() & keep(x["m"], x["g"])
-        return F.struct(e.alias("at"), F.when(ok, F.concat(a["out"], F.array(_span(s, e, kind)))).otherwise(a["out"]).alias("out"))
+        out = F.when(ok, F.concat(a["out"], F.array(_span(s, e, kind))))
+        if parts is not None:
+            out = out.when(x["m"].isNotNull(), F.concat(a["out"], F.transform(parts(x["m"]), lambda p: _span(s + p["s"], s + p["e"], kind))))
+        return F.struct(e.alias("at"), out.otherwise(a["out"]).alias("out"))
 
     found = F.aggregate(rows, start, step, lambda a: a["out"])
     return F.when(text.rlike(pattern), found).otherwise(F.expr(NO_SPANS))
@@ -125,10 +172,9 @@ def spans(text: Column, table: Column) -> tuple[Column, Column]:
         _matches(text, ASSIGN, 0, lambda m, g: F.length(g) >= 6), _matches(text, ACCESS, 1, yes), _matches(text, HEX, 2, yes)))
 
     def random_like(m: Column, g: Column) -> Column:
-        mixed = m.rlike("[0-9]") & m.rlike("[A-Za-z]")
-        return mixed & let(ratio(m, table), lambda r: (r >= MIN_TOTAL) & (r >= MIN_MEAN * F.length(m)))
+        return mixed(m) & let(ratio(m, table), lambda r: (r >= MIN_TOTAL) & (r >= MIN_MEAN * F.length(m)))
 
-    return base, _matches(text, CANDIDATE, 3, random_like)
+    return base, _matches(text, CANDIDATE, 3, random_like, lambda m: rising_parts(m, table))
 
 
 def model(spark: SparkSession) -> Column:

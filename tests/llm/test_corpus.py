@@ -347,3 +347,20 @@ def test_warc_broken(spark, tmp_path):
         (tmp_path / name / "w.warc").write_bytes(content)
         with pytest.raises(Exception, match="records end at byte|no record at its start"):
             warc.read(spark, str(tmp_path / name)).collect()
+
+
+def test_secrets_behind_names(spark):
+    """Random strings behind a name or path, two in one run, and letter-only ones; the strings are masked whole, names of words stay."""
+    rng = random.Random(21)
+    fronts = ("", "service_account_credentials=", "/api/v1/users/session/", "/home/user/projects/service/config/production/keys/")
+    rows = [(f"see {f} {f}{k} end", k) for f in fronts for n in (20, 24, 32, 40) for alphabet in (secrets.ALPHABET[:62], secrets.ALPHABET[:52]) for k in ("".join(rng.choices(alphabet, k=n)) for _ in range(25))]
+    table = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(rows)], "doc_id long, text string, key string")
+    got = secrets.redact(table).select("doc_id", F.expr("contains(text, key)").alias("left"), "text").collect()
+    for f in range(4):
+        assert sum(not r.left for r in got if r.doc_id // 200 == f) >= 190
+    keys = ["".join(rng.choices(secrets.ALPHABET[:62], k=32)) for _ in range(2)]
+    two = spark.createDataFrame([(1, f"/first/account/path/{keys[0]}/another/long/path/name/of/resource/{keys[1]}")], "doc_id long, text string")
+    clean = secrets.redact(two).first().text
+    assert all(k not in clean for k in keys) and "/long/path/name" in clean
+    plain = spark.createDataFrame([(i, t) for i, (t, y) in enumerate(secrets.labelled_samples(400, seed=98)) if not y], "doc_id long, text string")
+    assert secrets.scan(plain).filter("n_markov > 0").count() <= 4
