@@ -37,7 +37,7 @@ _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 def records(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) -> value, a record without its closing CRLF CRLF.
 
-    A null html counts as empty and a null url as about:blank. Of repeated rows one is the response.
+    A null html counts as empty and a null url as about:blank; a null page_id is read back as null. Of repeated rows one is the response.
     """
     p = with_uid(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_or_empty("html").alias("html")))
     p = p.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
@@ -46,16 +46,17 @@ def records(pages: DataFrame) -> DataFrame:
     p = p.withColumn("key", F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.col("uid").cast("string"))))
     groups = p.groupBy("key").agg(F.max(F.struct("page_id", "uid")).alias("first"), F.count("*").alias("n"))
     p = skew_join(p, groups, ["key"], "n", hot_limit(pages.count()), "uid")
-    response = F.col("first.uid") == F.col("uid")
+    # a page without id is no revisit, as in SQL; first.page_id is null only where all of the group are such pages
+    response = (F.col("first.uid") == F.col("uid")) | F.col("page_id").isNull()
     http = F.when(response, F.concat(F.lit(HTTP), F.col("html"))).otherwise(F.lit(HTTP))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     url = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20\x7F]", "")
     line = lambda name, c: F.concat(F.lit(f"{name}: "), c, F.lit("\r\n"))
     kind = F.when(response, "response").otherwise("revisit")
     head = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", kind), line("WARC-Record-ID", urn(F.coalesce("page_id", F.lit(-1)))), line("WARC-Date", F.lit(DATE)), line("WARC-Target-URI", url),
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", kind), line("WARC-Record-ID", urn(F.coalesce(F.col("page_id").cast("string"), F.lit("null")))), line("WARC-Date", F.lit(DATE)), line("WARC-Target-URI", url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), line("X-Payload-Length", F.col("bytes").cast("string")),
-        F.when(~response, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", urn(F.col("first.page_id"))))).otherwise(F.lit("")),
+        F.when(~response, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", urn(F.coalesce(F.col("first.page_id").cast("string"), F.lit("null")))))).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length(http).cast("string")), F.lit("\r\n"))
     return p.select(F.concat(head, http).alias("value"))
 

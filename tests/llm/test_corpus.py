@@ -364,3 +364,12 @@ def test_secrets_behind_names(spark):
     assert all(k not in clean for k in keys) and "/long/path/name" in clean
     plain = spark.createDataFrame([(i, t) for i, (t, y) in enumerate(secrets.labelled_samples(400, seed=98)) if not y], "doc_id long, text string")
     assert secrets.scan(plain).filter("n_markov > 0").count() <= 4
+
+
+def test_warc_null_ids(spark, tmp_path):
+    pages = [(None, "u", "é" * 600), (None, "u", "é" * 600), (None, "u", "z" * 1500), (5, "u", "z" * 1500), (-1, "u", "z" * 1500), *((i, "u", f"page {i}") for i in range(10, 20))]
+    path = str(tmp_path / "w")
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    want = [(i, hashlib.sha1(h.encode()).hexdigest(), *(("revisit", 5) if i == -1 else ("response", None))) for i, _, h in pages]
+    got = warc.read(spark, path).select("page_id", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
