@@ -29,6 +29,9 @@ NONE = np.int64(1 << 40)
 _PLAIN = re.compile(r"[\x21-\x7E\xA1-\xAC\xAE-\xFF]+")
 # one match a line: (word, mark) of a lower-case part that is one Latin-1 word and at most one mark, else two empty strings
 _WORD = re.compile(r"^(?:([a-z\xAA\xB5\xBA\xDF-\xF6\xF8-\xFF]+)([.,]?)$|.*$)", re.MULTILINE)
+#: The library cuts a text at its special tokens first, in the text as it is.
+SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+_SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 _engines: dict[str, WordCache] = {}
 
 
@@ -47,7 +50,6 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -65,6 +67,7 @@ class WordCache:
         self.first = self.ranks(np.repeat(self.inner, 512), np.tile(np.r_[self.inner, self.final], 256)).reshape(256, 512)
         self.words: dict[str, bytes] = {}
         self.ids: dict[str, bytes] = {}
+        self.special = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in spec["added_tokens"]}
 
     @classmethod
     def load(cls, path: str) -> WordCache:
@@ -137,6 +140,10 @@ class WordCache:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without the end mark."""
+        cut = [_SPECIAL.split(t) if SPECIAL[0] in t or SPECIAL[1] in t else None for t in texts]
+        if any(cut):
+            whole = iter(self.encode([x for c, t in zip(cut, texts) for x in (c[::2] if c else [t])]))
+            return [b"".join(next(whole) if i % 2 == 0 else self.special[x] for i, x in enumerate(c)) if c else next(whole) for c in cut]
         parts = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.ids) > CACHE:
             self.ids = {}

@@ -373,3 +373,12 @@ def test_warc_null_ids(spark, tmp_path):
     want = [(i, hashlib.sha1(h.encode()).hexdigest(), *(("revisit", 5) if i == -1 else ("response", None))) for i, _, h in pages]
     got = warc.read(spark, path).select("page_id", "payload_digest", "record_type", "refers_to").collect()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+
+
+def test_packing_special_tokens():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    lib, engine = Tokenizer.from_file(path), packing.WordCache(path)
+    odd = ["a <|endoftext|> b", "<|startoftext|><|endoftext|>x", "<|ENDOFTEXT|> <|endoftext |>", "e<|endoftext|>\u0301 it<|startoftext|>'s", "plain text.", "", "<|endoftext|>", "<|endo<|endoftext|>ftext|>"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in engine.encode(odd)] == [lib.encode(t, add_special_tokens=False).ids for t in odd]
