@@ -267,10 +267,6 @@ def test_warc(spark, tmp_path):
         assert (g.payload_bytes, g.payload_digest, g.record_type, g.refers_to) == (len(b), hashlib.sha1(b).hexdigest(), "revisit" if i in top else "response", top.get(i))
 
 
-def test_chain():
-    assert warc.on_chain(np.array([0, 10, 15, 30]), np.array([10, 30, 20, 40])).tolist() == [True, True, False, True]
-
-
 def test_empty(empty):
     d = exact_dedup.with_uid(empty.select("doc_id", "text"))
     for got in (exact_dedup.exact_groups(d), simhash.near_groups(d), repeats.repeats(d), secrets.scan(empty), bpe.encoded(empty, P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
