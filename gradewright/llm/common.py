@@ -21,13 +21,20 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one of setCheckpointDir.
+
+    Where neither is set, a local master (tests) gets a fresh folder of its own; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    set_later = sc._jsc.sc().getCheckpointDir()
+    found = sc.getConf().get("spark.checkpoint.dir") or (set_later.get() if set_later.isDefined() else None)
     if found:
         return found.rstrip("/")
-    own = getattr(spark.sparkContext, "_gradewright_dir", None)
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    own = getattr(sc, "_gradewright_dir", None)
     if own is None:
-        own = spark.sparkContext._gradewright_dir = "file://" + tempfile.mkdtemp(prefix="gradewright-")
+        own = sc._gradewright_dir = "file://" + tempfile.mkdtemp(prefix="gradewright-")
     return own
 
 
@@ -44,8 +51,8 @@ def _clean() -> None:
         try:
             hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # the session has ended: the cluster's own clean-up of the folder remains
-            return
+        except Exception:  # noqa: S112 - that session has ended: the cluster's own clean-up of the folder remains
+            continue
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -10,12 +10,14 @@ Text is shuffled twice (grouping, naming), names only after that; levels number
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_limit, lower_ascii, materialize, skew_join, text_or_empty
+from .common import HOT_LEAST, hot_limit, lower_ascii, materialize, skew_join, text_or_empty
 
 BLOCK = 8192
+#: Blocks whose rows number over 1 / HOT_BLOCKS of all block rows are hot: at most so many are broadcast.
+HOT_BLOCKS = 500
 
 
 def _named(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -26,18 +28,24 @@ def _named(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return joined.withColumn("name", F.coalesce("name", "bid")).drop(*keys, "__copies")
 
 
+def block_count(c: Column, block: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.octet_length(c) / F.lit(block))).cast("int")
+
+
 def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """docs (uid long unique, doc_id, text) -> uid, doc_id, sha, level int, name long: equal (level, name) if and only if equal text."""
-    limit = hot_limit(docs.count())
+    """docs (uid long unique, doc_id, text) -> uid, doc_id, sha, level int, name long: equal (level, name) if and only if equal text.
+
+    Hot groups of a level are counted against the rows of that level, so at most HOT_BLOCKS blocks (4 MiB of content) and HOT_PARTS pairs are broadcast.
+    """
+    blocks_in_all = docs.agg(F.sum(block_count(text_or_empty(), block))).first()[0] or 0
     text = docs.select("uid", "doc_id", lower_ascii(text_or_empty()).alias("__t"))
     text = text.select("uid", "doc_id", F.sha2("__t", 256).alias("sha"), F.col("__t").cast("binary").alias("__b"))
-    n = F.greatest(F.lit(1), F.ceil(F.octet_length("__b") / F.lit(block))).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring("__b", i * block + 1, F.lit(block)))
-    text = text.withColumn("n", n)
+    text = text.withColumn("n", block_count(F.col("__b"), block))
     blocks = text.select("uid", "doc_id", "sha", "n", F.posexplode(cut).alias("pos", "block"))
     blocks = blocks.select("uid", "doc_id", F.when(F.col("pos") == 0, F.col("sha")).alias("sha"), "n", "pos", "block",
                            F.monotonically_increasing_id().alias("bid"))
-    cur = materialize(_named(blocks, ["block"], limit).drop("bid"), "block-names")
+    cur = materialize(_named(blocks, ["block"], max(blocks_in_all // HOT_BLOCKS, HOT_LEAST)).drop("bid"), "block-names")
     out, level = [], 0
     longest = cur.agg(F.max("n")).first()[0] or 1
     while True:
@@ -52,7 +60,7 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("right"))
         pairs = materialize(pairs.withColumn("n", F.ceil(F.col("n") / 2).cast("int")), "block-pairs")
         pairs = pairs.withColumn("bid", F.monotonically_increasing_id())  # a table's files: the same ids in every job
-        cur = materialize(_named(pairs, ["left", "right"], limit).drop("bid"), "pair-names")
+        cur = materialize(_named(pairs, ["left", "right"], hot_limit(pairs.count())).drop("bid"), "pair-names")
         longest, level = (longest + 1) // 2, level + 1
     found = out[0]
     for x in out[1:]:
@@ -63,7 +71,7 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def exact_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row a document: uid, doc_id, keep_id, group_size, kept, text_sha256.
 
-    docs: uid (unique long), doc_id, text. Null text counts as empty; the row with the largest doc_id stays (a null
+    docs: uid (unique long, as of `with_uid`), doc_id, text. Null text counts as empty; the row with the largest doc_id stays (a null
     doc_id is the least); of repeated rows with that doc_id the one with the largest uid. An empty table gives no rows.
     """
     found = identities(docs, block)
@@ -75,7 +83,16 @@ def exact_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def with_uid(docs: DataFrame, name: str = "uid") -> DataFrame:
-    """docs with a unique long; stable between jobs for a table read from files."""
+    """docs with a unique long that is the same in every job: rows that don't come straight from files are written first.
+
+    The ids follow how files are cut into tasks, which else changes with the number of executors: it is pinned here.
+    """
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    steps = docs._jdf.queryExecution().optimizedPlan().toString().strip().split("\n")
+    if not {s.lstrip(" :+-").split(" ")[0] for s in steps} <= {"Project", "Filter", "Relation"}:
+        docs = materialize(docs, "rows")
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
