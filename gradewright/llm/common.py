@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,6 +63,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame, own: tuple[str, ...], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run(docs) in the columns of docs, whatever their names: those not in own bear names of no operator meanwhile."""
+    names = {c: c if c in own else f"x{i}" for i, c in enumerate(docs.columns)}
+    return run(docs.toDF(*names.values())).select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -121,3 +128,21 @@ def position_in_group(df: DataFrame, groups: list[str], bucket: str, order: list
 def hash_bucket(h: Column) -> Column:
     """The top 12 bits of a 64-bit hash, as 0 .. RANK_BUCKETS - 1."""
     return F.shiftrightunsigned(h, 52).cast("int")
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def prefix_sums(values: Column, chunk: int = 256) -> Column:
+    """For an array of ints, the sum before each of them. Arrays grow by chunks: a fold that appends copies its array at every step."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    add = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+
+    def sums(v: Column) -> Column:
+        last = F.greatest(F.floor((F.size(v) - 1) / chunk).cast("int"), F.lit(0))
+        cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(F.slice(v, i * chunk + 1, F.lit(chunk)), start, add))
+        return let(cut, lambda c: F.flatten(F.zip_with(c, F.aggregate(c, start, lambda a, x: add(a, x["at"]), lambda a: a["out"]), lambda x, b: F.transform(x["out"], lambda o: o + b))))
+
+    return F.when(F.size(values) > 0, let(values, sums)).otherwise(F.expr("cast(array() as array<int>)"))

@@ -5,7 +5,8 @@ differing bits link. Each distinct fingerprint gets a table row of its Hamming d
 fingerprints. Pairs come from blocks: of six segments of the 64 bits, four differing bits leave two untouched, so
 linked fingerprints share one of 15 pairs of segments. In a block, a pair whose coordinates differ by over 4 anywhere
 is discarded (triangle inequality) and the survivors are verified. Blocks are searched breadth first against the
-members not yet reached, so a dense group costs a star and not all of its pairs, and no link is lost.
+members not yet reached, so a dense group costs a star and not all of its pairs, and no link is lost. A block too large
+for one task is cut into chunks, and every pair of its chunks is a block.
 Components then come from alternating large and small stars over the (few) links, as tables in the shared folder.
 """
 
@@ -20,13 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_limit, materialize, skew_join
+from .common import hot_limit, materialize, shielded, skew_join
 from .exact_dedup import with_uid
 
 WORDS, NEAR = 4, 4
 SEGMENTS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 PIVOTS = 16
 CHUNK = 200_000  # shingles hashed at a time
+#: Fingerprints of a block that one task holds; larger blocks are searched by pairs of chunks of so many.
+BLOCK_ROWS = 50_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -91,11 +94,27 @@ def block_links(fps: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, fp, coords) -> links. Blocks of two, most of all, are verified at once; a block may span batches."""
+def _search(batches: Iterator[pa.RecordBatch], limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, fp, coords) -> links. Blocks of two, most of all, are verified at once; a block may span batches.
+
+    Rows of a block of over `limit` fingerprints are passed on with the number of their chunk instead: no task holds them.
+    """
     rest: tuple | None = None
+    hot, seen = None, 0
+
+    def out(links: np.ndarray, key: np.ndarray, fp: np.ndarray, co: np.ndarray, chunk: np.ndarray) -> pa.RecordBatch:
+        gap, tail = pa.nulls(len(key), pa.int64()), len(links)
+        columns = [pa.concat_arrays([pa.array(links[:, i], pa.int64()), gap]) for i in (0, 1)]
+        for x, kind in ((key, pa.int64()), (fp.view(np.int64), pa.int64()), ([c.tobytes() for c in co], pa.binary()), (chunk, pa.int32())):
+            columns.append(pa.concat_arrays([pa.nulls(tail, kind), pa.array(x, kind)]))
+        return pa.record_batch(columns, ["u", "v", "key", "fp", "coords", "chunk"])
 
-    def done(key, fp, co):
+    none = np.zeros((0, 2), np.int64)
+
+    def passed_on(key, fp, co) -> pa.RecordBatch:
+        return out(none, key, fp, co, ((seen + np.arange(len(key))) // (limit or 1)).astype(np.int32))
+
+    def done(key, fp, co) -> pa.RecordBatch:
         links: list[tuple[int, int]] = []
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
@@ -106,21 +125,31 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links += [(max(a, b), min(a, b)) for a, b in zip(fp[two].tolist(), fp[two + 1].tolist())]
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
             links += block_links(fp[s : s + n], co[s : s + n])
-        ab = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.record_batch([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["u", "v"])
+        return out(np.array(links, np.uint64).reshape(-1, 2).view(np.int64), key[:0], fp[:0], co[:0], key[:0])
 
     for b in batches:
-        if not b.num_rows:
-            continue
         key = b.column(0).to_numpy()
         fp = b.column(1).to_numpy().view(np.uint64)
         co = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int8).reshape(-1, PIVOTS)
+        if hot is not None:
+            k = int(np.searchsorted(key, hot, "right"))
+            if k:
+                yield passed_on(key[:k], fp[:k], co[:k])
+                seen += k
+                key, fp, co = key[k:], fp[k:], co[k:]
+        if not len(key):
+            continue
+        hot = None
         if rest:
             key, fp, co = np.r_[rest[0], key], np.r_[rest[1], fp], np.r_[rest[2], co]
         cut = int(np.searchsorted(key, key[-1]))  # the last block may go on
         if cut:
             yield done(key[:cut], fp[:cut], co[:cut])
         rest = (key[cut:], fp[cut:], co[cut:])
+        if limit and len(rest[0]) > limit:
+            hot, seen = int(rest[0][0]), 0
+            yield passed_on(*rest)
+            seen, rest = len(rest[0]), None
     if rest:
         yield done(*rest)
 
@@ -131,28 +160,44 @@ def _coords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), pa.array([x.tobytes() for x in t], pa.binary())], ["fp", "coords"])
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Distinct fp -> (u, v) links that join all fingerprints within NEAR bits, v the least (as unsigned) of its block's component."""
+def links(fps: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct fp -> (u, v) links that join all fingerprints within NEAR bits, v the least (as unsigned) of its block's component; a written table.
+
+    A block of over `limit` (BLOCK_ROWS) fingerprints is cut into chunks, and each pair of chunks searched as a block of its own.
+    """
+    limit = limit or BLOCK_ROWS
     part = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1)) for at, n in SEGMENTS]
     keys = [F.shiftleft(F.lit(i).cast("long"), 22).bitwiseOR(F.shiftleft(part[a], 11)).bitwiseOR(part[b])
             for i, (a, b) in enumerate(combinations(range(len(SEGMENTS)), 2))]
     rows = fps.mapInArrow(_coords, "fp long, coords binary").select(F.explode(F.array(*keys)).alias("key"), "fp", "coords")
-    rows = rows.repartition("key").sortWithinPartitions("key", "fp")
-    return rows.mapInArrow(_search, "u long, v long").distinct()
+
+    def searched(rows: DataFrame, limit: int | None) -> DataFrame:
+        rows = rows.select("key", "fp", "coords").repartition("key").sortWithinPartitions("key", "fp")
+        return rows.mapInArrow(lambda x: _search(x, limit), "u long, v long, key long, fp long, coords binary, chunk int")
+
+    found = materialize(searched(rows, limit), "links")
+    pairs = found.filter("u is not null").select("u", "v")
+    hot = found.filter("key is not null").select("key", "fp", "coords", "chunk")
+    n = hot.count()
+    if n:
+        chunks = hot.groupBy("key").agg((F.max("chunk") + 1).alias("chunks"), F.count("*").alias("n"))
+        each = skew_join(hot, chunks, ["key"], "n", hot_limit(n), "fp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        # two pairs of chunks that share a hash are searched as one block, which finds the same links
+        own = F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))
+        pairs = pairs.unionByName(searched(each.withColumn("key", own), None).select("u", "v"))
+    return materialize(pairs.distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v), a written table -> node, root: the least node reachable. Alternating large and small stars."""
-    spark = edges.sparkSession
-    seen = None
     while True:
+        last = edges
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v")
         edges = materialize(_star(both, large=True), "stars")
         edges = materialize(_star(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), large=False), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == seen:
+        # both are sets: of equal size and without a new edge, they are the same
+        if edges.count() == last.count() and edges.join(last, ["u", "v"], "left_anti").isEmpty():
             break
-        seen = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -177,7 +222,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     n = prints.count()
     order = F.struct(F.col("doc_id").isNull().alias("__null"), "doc_id", "uid")
     fps = materialize(prints.groupBy("fp").agg(F.min(order).alias("rep"), F.count("*").alias("n")), "distinct-fingerprints")
-    roots = components(materialize(links(fps.select("fp")), "links"))
+    roots = components(links(fps.select("fp")))
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     rooted = materialize(rooted.select("fp", "n", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
     heads = rooted.groupBy("root").agg(F.min("rep").alias("head"), F.count("*").alias("__fps"))
@@ -194,6 +239,9 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
 
 def drop_near(docs: DataFrame) -> DataFrame:
     """docs (any further columns) with one document of each component: that with the least doc_id."""
-    tagged = with_uid(docs, "__row")
-    kept = near_groups(tagged.select(F.col("__row").alias("uid"), "doc_id", "text")).filter("kept")
-    return tagged.join(kept.select(F.col("uid").alias("__row")), "__row", "left_semi").drop("__row")
+    def run(d: DataFrame) -> DataFrame:
+        tagged = with_uid(d, "__row")
+        kept = near_groups(tagged.select(F.col("__row").alias("uid"), "doc_id", "text")).filter("kept")
+        return tagged.join(kept.select(F.col("uid").alias("__row")), "__row", "left_semi")
+
+    return shielded(docs, ("doc_id", "text"), run)
