@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_LEAST, hot_limit, lower_ascii, materialize, skew_join, text_or_empty
+from .common import HOT_LEAST, hot_limit, lower_ascii, materialize, shielded, skew_join, text_or_empty
 
 BLOCK = 8192
 #: Blocks whose rows number over 1 / HOT_BLOCKS of all block rows are hot: at most so many are broadcast.
@@ -103,9 +103,12 @@ def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """docs (any further columns) without exact copies."""
-    tagged = with_uid(docs, "__row")
-    kept = exact_groups(tagged.select(F.col("__row").alias("uid"), "doc_id", "text")).filter("kept")
-    return tagged.join(kept.select(F.col("uid").alias("__row")), "__row", "left_semi").drop("__row")
+    def run(d: DataFrame) -> DataFrame:
+        tagged = with_uid(d, "__row")
+        kept = exact_groups(tagged.select(F.col("__row").alias("uid"), "doc_id", "text")).filter("kept")
+        return tagged.join(kept.select(F.col("uid").alias("__row")), "__row", "left_semi")
+
+    return shielded(docs, ("doc_id", "text"), run)
 
 
 ORACLE_OP1 = r"""
