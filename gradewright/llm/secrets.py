@@ -14,7 +14,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import let, prefix_sums, shielded, text_or_empty
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the same matches as AKIA[A-Z0-9]+ of 20 or more characters: a run is taken whole
@@ -57,11 +57,6 @@ def labelled_samples(n: int = SAMPLES, seed: int = SEED) -> list[tuple[str, int]
     return out
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with the value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def codes(s: Column) -> Column:
     """Places in ALPHABET from 1, 0 for any other character."""
     return F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c))
@@ -149,20 +144,19 @@ def _matches(text: Column, pattern: str, kind: int, keep, parts=None) -> Column:
     """Spans of the pattern's leftmost non-overlapping matches for which keep(match, its group 2) holds; of others, of their parts(match)."""
     second = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == 0 else F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})" if kind else pattern), F.lit(1 if kind else 0))
-    rows = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), whole.alias("m"), second.alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(NO_SPANS).alias("out"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    rows = F.filter(F.arrays_zip(gaps.alias("gap"), whole.alias("m"), second.alias("g")), lambda x: x["m"].isNotNull())
+
+    def found(r: Column) -> Column:
+        def spans_of(x: Column, before: Column) -> Column:
+            s = before + x["gap"]
+            own = F.when(keep(x["m"], x["g"]), F.array(_span(s, s + F.length(x["m"]), kind)))
+            return own.otherwise(F.expr(NO_SPANS) if parts is None else F.transform(parts(x["m"]), lambda p: _span(s + p["s"], s + p["e"], kind)))
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + x["gap"]
-        e = s + F.coalesce(F.length(x["m"]), F.lit(0))
-        ok = x["m"].isNotNull() & keep(x["m"], x["g"])
-        out = F.when(ok, F.concat(a["out"], F.array(_span(s, e, kind))))
-        if parts is not None:
-            out = out.when(x["m"].isNotNull(), F.concat(a["out"], F.transform(parts(x["m"]), lambda p: _span(s + p["s"], s + p["e"], kind))))
-        return F.struct(e.alias("at"), out.otherwise(a["out"]).alias("out"))
+        before = prefix_sums(F.transform(r, lambda x: x["gap"] + F.length(x["m"])))
+        return F.flatten(F.zip_with(r, before, spans_of))
 
-    found = F.aggregate(rows, start, step, lambda a: a["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.expr(NO_SPANS))
+    return F.when(text.rlike(pattern), let(rows, found)).otherwise(F.expr(NO_SPANS))
 
 
 def spans(text: Column, table: Column) -> tuple[Column, Column]:
@@ -209,6 +203,10 @@ def op2_secrets(spark, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span, overlapping ones as one, put as MASK; n_chars follows where it is a column. Null texts stay null."""
+    return shielded(docs, ("text", "n_chars"), _redacted)
+
+
+def _redacted(docs: DataFrame) -> DataFrame:
     found = with_spans(docs)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -222,4 +220,4 @@ def redact(docs: DataFrame) -> DataFrame:
     out = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("__all") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return out
