@@ -158,7 +158,10 @@ class WordCache:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids) of each document's ids with the end mark 0, cut at capacity."""
+    """doc_id, piece, start, length, ids_crc32 (and ids) of each document's ids with the end mark 0, cut at capacity.
+
+    Null and empty texts give one piece, the end mark; repeated rows give repeated pieces; a null doc_id stays null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = WordCache.load(path)
@@ -278,6 +281,7 @@ def op8_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
+    """The pieces of docs (doc_id, text; further columns are not kept, since a piece is no document) with sequence_id and offset."""
     import public_tokenizers as P
 
     return packed(materialize(pieces(docs, P.path("word_bpe_49k.json")), "pieces"))
