@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gradewright.errors import SpecError
+from gradewright.operators import episode as E
 from gradewright.operators import predicates as P
-from gradewright.operators import signals as S
+from gradewright.operators.columns import let, total
+from gradewright.operators.cumulative import places
 from gradewright.sources import domain as D
+from gradewright.spec import Phase, Predicate, Role, TaskSpec
 
-TOL, TOL_STILL = 100.0, 110.0
+TOL, TOL_STILL, TOL_PHASE = 100.0, 110.0, 200.0
+#: The task that the queries grade, ours; operators take any.
+SPEC = TaskSpec(
+    name="events", prompt="bring the clicks to the views",
+    roles=(Role(D.SUBJECT, "what is moved", "co_moves_with_effector"), Role(D.OBJECT, "where it goes", "static"), Role(D.EFFECTOR, "what moves it", "actuated", required=False), Role("error", required=False), Role("signup", required=False)),
+    phases=(Phase("approach", order=0, active=(Predicate("approaching", D.SUBJECT, D.OBJECT),)), Phase("settle", order=2, active=(Predicate("stationary", D.SUBJECT, params={"tol": TOL_PHASE}),)),
+            Phase("arrive", order=1, active=(Predicate("co_located", D.SUBJECT, D.OBJECT, {"tol": TOL_PHASE}),))),
+    success=(Predicate("co_located", D.SUBJECT, D.OBJECT, {"tol": TOL}), Predicate("stationary", D.SUBJECT, params={"tol": TOL_STILL})), success_sustain_frames=D.FINAL)
+DIAGONAL = 1000.0
 
 
 def final(spark, sf):
@@ -30,20 +44,13 @@ def _predicate(kind, params=None, region=False):
     return run
 
 
-SPEC = (("co_located", {"tol": TOL}), ("stationary", {"tol": TOL_STILL}))
-
-
 def success(spark, sf):
     """rollout_id, policy, status, value, margin of the conjunction over the final window."""
     m = measured(spark, sf)
-    c = P.conjunction([P.evaluate(k, p) for k, p in SPEC])
+    c = P.conjunction([P.evaluate(p.kind, p.params) for p in SPEC.success])
     return m.select("rollout_id", "policy", c["status"].alias("status"), c["value"].alias("value"), c["margin"].alias("margin"))
 
 
-def c1(spark, sf):
-    return success(spark, sf).select("rollout_id", "status", "value", (1 / (1 + F.exp(-F.col("margin") / 3))).alias("confidence"))
-
-
 def verdicts(spark, sf):
     return success(spark, sf).select("rollout_id", "policy", F.when(F.col("status") != "ok", "abstain").when(F.col("value") >= 0.5, "pass").otherwise("fail").alias("verdict"))
 
@@ -58,110 +65,140 @@ def flagship(spark, sf):
     return leaderboard(verdicts(spark, sf))
 
 
-def gated(spark, sf):
-    """rollout_id, policy, gate, status, value: channels of ungradeable rollouts are skipped."""
-    t = D.tracks(spark, sf)
-    gate = S.compose_gate(S.all_signals(t), S.unbound_required(t))
-    s = success(spark, sf).join(gate, "rollout_id")
-    skip = F.col("gate") == "ungradeable"
-    return s.select("rollout_id", "policy", "gate", F.when(skip, "skipped").otherwise(F.col("status")).alias("status"), F.when(~skip, F.col("value")).alias("value"), "margin")
-
-
-def progress(spark, sf):
-    """Share of the first distance to the object's mean place that is gone at the last observed frame."""
-    f = D.frames(D.tracks(spark, sf))
-    w = Window.partitionBy("rollout_id")
-    f = f.withColumn("cx", F.avg("ox").over(w)).withColumn("cy", F.avg("oy").over(w)).withColumn("d", D.hyp(F.col("sx") - F.col("cx"), F.col("sy") - F.col("cy")))
-    seen = F.when(F.col("d").isNotNull(), F.col("t"))
-    g = f.groupBy("rollout_id").agg(F.min_by("d", seen).alias("first"), F.max_by("d", seen).alias("last"), (F.count("d") / F.count("*")).alias("confidence"), F.count("d").alias("k"))
-    v = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("last"), F.col("first"))))
-    ok = (F.col("k") > 0) & (F.col("first") > 0)
-    return g.select("rollout_id", F.when(ok, "ok").otherwise(P.MISSING).alias("status"), F.when(ok, v).alias("value"), F.when(ok, F.col("confidence")).otherwise(0.0).alias("confidence"))
-
-
-def full_verdict(spark, sf):
-    """Two eligible channels (success, and progress as a second vote), folded behind the gate."""
-    g = gated(spark, sf)
-    p = progress(spark, sf).select("rollout_id", F.when(F.col("status") == "ok", F.col("value")).alias("second"))
-    j = g.join(p, "rollout_id")
-    v = S.fold(F.array(F.when(F.col("status") == "ok", F.col("value")), F.col("second")))
-    return j.select("rollout_id", "policy", "gate", F.when(F.col("gate") == "ungradeable", "abstain").otherwise(v).alias("verdict"))
-
-
-def _from(cursor, stride):
-    return lambda t: (t >= cursor) & ((t - cursor) % stride == 0)
-
-
-def phases(spark, sf, width=5, stride=2):
-    """Ordered phases approaching, then co-located, then stationary; each search starts where its predecessor was met."""
-    f = D.frames(D.tracks(spark, sf))
-    n = F.count("*").over(Window.partitionBy("rollout_id"))
-    f = f.withColumn("n", n)
-    starts = f.select("rollout_id", F.col("t").alias("t0"), "n").filter((F.col("t0") == 0) | (F.col("t0") < F.col("n") - width))
-    win = f.drop("n").withColumn("t0", F.explode(F.sequence(F.greatest(F.lit(0), F.col("t") - width + 1), F.col("t"))))
-    m = P.measure(win, ["rollout_id", "t0"]).withColumnRenamed("n", "rows").withColumn("n", F.col("rows"))
-    each = [P.evaluate(k, p) for k, p in (("approaching", {}), ("co_located", {"tol": 200.0}), ("stationary", {"tol": 200.0}))]
-    m = m.select("rollout_id", "t0", *[r["holds"].alias(f"h{i}") for i, r in enumerate(each)]).join(starts.select("rollout_id", "t0"), ["rollout_id", "t0"])
-    a = m.groupBy("rollout_id").agg(*[F.array_sort(F.collect_list(F.when(F.col(f"h{i}"), F.col("t0")))).alias(f"a{i}") for i in range(3)], F.max("t0").alias("top"))
-    cursor = F.lit(0)
-    out = []
-    for i in range(3):
-        cursor = F.array_min(F.filter(f"a{i}", _from(cursor, stride)))
-        out.append(cursor)
-    k = sum((h.isNotNull().cast("int") for h in out[1:]), out[0].isNotNull().cast("int"))
-    return a.select("rollout_id", (k / 3.0).alias("value"), F.coalesce(out[0], F.lit(-1)).cast("long").alias("t_first"))
-
-
-def dtmc(spark, sf, k=2):
-    """Probability of k consecutive successes: a chain over two-frame windows, folded in order."""
-    f = D.frames(D.tracks(spark, sf))
-    w = Window.partitionBy("rollout_id").orderBy("t")
-    for c in ("sx", "sy", "ox", "oy"):
-        f = f.withColumn(f"{c}1", F.lead(c).over(w))
-    f = f.withColumn("next", F.lead("t").over(w)).filter("next is not null and t % 2 = 0")
-    d0, d1 = D.hyp(F.col("sx") - F.col("ox"), F.col("sy") - F.col("oy")), D.hyp(F.col("sx1") - F.col("ox1"), F.col("sy1") - F.col("oy1"))
-    speed = D.hyp(F.col("sx1") - F.col("sx"), F.col("sy1") - F.col("sy"))
-    q = P.squash(TOL - F.greatest(d0, d1), "co_located") * P.squash(TOL_STILL - speed, "stationary")
-    full = d0.isNotNull() & d1.isNotNull()
-    f = f.withColumn("q", F.when(full, q))
-    a = f.groupBy("rollout_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", F.coalesce("q", F.lit(0.0)).alias("q")))), lambda s: s["q"]).alias("a"),
-                                    F.count("q").alias("ok"), F.count("*").alias("n"))
-    # state: chance of a run of 0 .. k-1 so far, and of having met k
-    start = F.struct(F.lit(1.0).alias("r0"), F.lit(0.0).alias("r1"), F.lit(0.0).alias("hit"))
-
-    def step(s, x):
-        return F.struct(((s["r0"] + s["r1"]) * (1 - x)).alias("r0"), (s["r0"] * x).alias("r1"), (s["hit"] + s["r1"] * x).alias("hit"))
-
-    v = F.aggregate("a", start, step, lambda s: s["hit"])
-    return a.select("rollout_id", F.when(F.col("ok") > 0, "ok").otherwise(P.MISSING).alias("status"), F.when(F.col("ok") > 0, v).alias("value"), (F.col("ok") / F.col("n")).alias("confidence"))
+def rollouts(spark, sf, spec=None, **tables):
+    """A row a rollout, which every channel, signal and verdict below is a column of: one scan of the events and one exchange."""
+    return E.episodes(D.tracks(spark, sf), spec or SPEC, **tables)
+
+
+def signals():
+    return E.binding_health(), E.permanence(), E.motion_sanity()
+
+
+def demo_scores(spark, sf):
+    """rollout_id and the demo channel's score; episodes of the embeddings stand in for the rollouts of the same id."""
+    m = demo_match(spark, sf)
+    return m.select(F.col("episode_id").alias("rollout_id"), E.score("success.demo_match", F.lit(True), F.col("value"), F.col("confidence"), F.lit("")).alias("demo"))
+
+
+def graded(spark, sf):
+    """Grade cards of all rollouts: two eligible channels (predicates and demos), three that only rank."""
+    missing = E.score("success.demo_match", F.lit(False), F.lit(None), F.lit(0.0), F.lit("no embedded frames"))
+    d = rollouts(spark, sf).join(demo_scores(spark, sf), "rollout_id", "left").withColumn("demo", F.coalesce("demo", missing))
+    channels = (E.success(SPEC), F.col("demo"), E.goal_distance(D.SUBJECT, D.OBJECT), E.phase_coverage(SPEC), E.sustained(SPEC))
+    return E.cards(d, SPEC, signals(), channels)
+
+
+def card_rows(c):
+    """What of a card is text or a number: lists are joined."""
+    line = lambda x: F.array_join(x, " | ")
+    return c.select("rollout_id", "policy", F.col("gate.verdict").alias("gate"), line("gate.reasons").alias("gate_reasons"), F.col("success.verdict").alias("verdict"),
+                    line("success.satisfied").alias("satisfied"), line("success.violated").alias("violated"), line("success.reasons").alias("reasons"))
+
+
+def channel_rows(c):
+    return c.select("rollout_id", "policy", F.explode("channels").alias("c")).select("rollout_id", "policy", "c.*")
+
+
+def fields(score, *names):
+    """A query of some fields of a score or signal of every rollout; score() builds the column."""
+    return lambda spark, sf: rollouts(spark, sf).select("rollout_id", score().alias("s")).select("rollout_id", *[F.col(f"s.{n}").alias(n) for n in names])
+
+
+def coverage(spark, sf):
+    d = rollouts(spark, sf).select("rollout_id", E.phase_coverage(SPEC).alias("s"))
+    first = [F.coalesce(F.try_element_at("s.details", F.lit(f"t_first:{p.name}")), F.lit(-1.0)).cast("long").alias(f"t_{p.name}") for p in SPEC.ordered_phases()]
+    return d.select("rollout_id", "s.status", "s.value", "s.confidence", "s.reason", *first)
+
+
+def board(cards):
+    """build of the leaderboard from cards: blank policies are <unknown>; cards of several specifications, or none at all, are an error."""
+    hashes = [r[0] for r in cards.select("spec_hash").distinct().limit(2).collect()]
+    if not hashes:
+        raise SpecError("there are no cards to rank")
+    if len(hashes) > 1:
+        raise SpecError("the cards are of several specifications: group them by spec_hash first")
+    policy = F.when(F.coalesce(F.trim("policy"), F.lit("")) == "", "<unknown>").otherwise(F.col("policy"))
+    return leaderboard(cards.select(policy.alias("policy"), F.col("success.verdict").alias("verdict")))
+
+
+def unit_mean(vectors):
+    """The mean of an array of vectors, as a vector of length one."""
+    summed = F.aggregate(F.slice(vectors, 2, F.greatest(F.size(vectors) - 1, F.lit(0))), F.get(vectors, F.lit(0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return let(summed, lambda s: let(F.sqrt(total(F.transform(s, lambda x: x * x))), lambda n: F.transform(s, lambda x: x / n)))
+
+
+def dot(a, b):
+    return total(F.zip_with(a, b, lambda x, y: x * y))
+
+
+#: The tail of an episode begins at this share of its frames, and so many of it are looked at.
+TAIL, TAIL_FRAMES = 0.8, 8
 
 
 def demo_bank(spark, sf):
-    """One normalised mean of the tail (last fifth, two of eight frames) a demo."""
-    e = D.frame_emb(spark, sf)
-    top = F.max("t").over(Window.partitionBy("episode_id"))
-    e = e.withColumn("top", top).filter("t > top - 2")
-    x = e.select("episode_id", "is_success", "is_demo", F.posexplode("emb").alias("i", "v"))
-    x = x.groupBy("episode_id", "is_success", "is_demo", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    n = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("episode_id")))
-    return x.withColumn("v", F.col("v") / n)
+    """episode_id, is_success, is_demo, v: one normalised mean of the tail of an episode."""
+    e = D.frame_emb(spark, sf).groupBy("episode_id").agg(F.first("is_success").alias("is_success"), F.first("is_demo").alias("is_demo"),
+                                                         F.array_sort(F.collect_list(F.struct("t", F.transform("emb", lambda x: x.cast("double")).alias("v")))).alias("all"))
+    n = F.size("all")
+    start = F.floor(n * TAIL).cast("int")
+    k = F.least(F.lit(TAIL_FRAMES), n - start)
+    at = F.array_distinct(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.when(k > 1, F.floor(start + i * (n - 1 - start) / (k - 1))).otherwise(start).cast("int")))
+    return e.withColumn("all", F.transform("all", lambda x: x["v"])).select("episode_id", "is_success", "is_demo", unit_mean(F.transform(at, lambda i: F.get("all", i))).alias("v"))
+
+
+def class_means(vectors, v, **classes):
+    """One row with a mean vector a class: sums a dimension combine before the shuffle, and no vector is sent."""
+    d = vectors.select(*[c.alias(f"__{k}") for k, c in classes.items()], F.posexplode(v).alias("i", "x")).groupBy("i")
+    d = d.agg(*[F.avg(F.when(F.col(f"__{k}"), F.col("x"))).alias(k) for k in classes])
+    ordered = lambda k: F.transform(F.array_sort(F.collect_list(F.struct("i", F.col(k)))), lambda s: s[k]).alias(k)
+    return d.agg(*[ordered(k) for k in classes])  # as many rows as a vector has dimensions
 
 
 def demo_match(spark, sf):
     """margin = mean similarity to successes less that to failures: a dot with the difference of the mean prototypes."""
     b = demo_bank(spark, sf)
-    proto = b.filter("is_demo").groupBy("i").agg(F.avg(F.when(F.col("is_success"), F.col("v"))).alias("s"), F.avg(F.when(~F.col("is_success"), F.col("v"))).alias("f"))
-    q = b.filter("not is_demo").join(F.broadcast(proto), "i")  # one row a dimension
-    m = q.groupBy("episode_id").agg(F.sum(F.col("v") * (F.col("s") - F.col("f"))).alias("margin"))
+    means = class_means(b.filter("is_demo"), "v", s=F.col("is_success"), f=~F.col("is_success"))
+    m = b.filter("not is_demo").crossJoin(F.broadcast(means))  # one row of two vectors
+    m = m.select("episode_id", (dot("v", "s") - dot("v", "f")).alias("margin"))
     return m.select("episode_id", "margin", (1 / (1 + F.exp(-F.col("margin") / 0.05))).alias("value"), F.least(F.lit(1.0), F.abs("margin") / 0.05 / 4).alias("confidence"))
 
 
-def _signal(fn, on_frames=False, **kw):
-    def run(spark, sf):
-        t = D.tracks(spark, sf)
-        return fn(D.frames(t) if on_frames else t, **kw)
+def gate_only(spark, sf):
+    d = rollouts(spark, sf).select("rollout_id", E.gate(F.array(*signals())).alias("g"))
+    return d.select("rollout_id", F.col("g.verdict").alias("gate"), F.array_join("g.reasons", " | ").alias("reasons"))
+
+
+def first_reasons(spark, sf):
+    """Why a conjunction lacks evidence: distinct reasons in the order in which its predicates gave them."""
+    spec = replace(SPEC, success=(Predicate("stationary", D.OBJECT), *SPEC.success))
+    return fields(lambda: E.success(spec), "status", "reason")(spark, sf).filter("status <> 'ok'").select("rollout_id", "reason")
+
+
+def details(spark, sf):
+    return rollouts(spark, sf).select("rollout_id", F.explode(E.success(SPEC)["details"]).alias("key", "value"))
+
+
+def short_circuit(spark, sf):
+    c = graded(spark, sf).select("rollout_id", F.col("gate.verdict").alias("gate"), E.first_channel(F.col("channels"), "success.predicates").alias("c"))
+    return c.select("rollout_id", "gate", "c.status", "c.value")
 
-    return run
+
+def board_with_unknown(spark, sf):
+    c = graded(spark, sf)
+    return board(c.withColumn("policy", F.when(F.col("rollout_id") % 7 == 0, " ").otherwise(F.col("policy"))))
+
+
+def card_places(spark, sf):
+    """Cards in the order of policy, then rollout: the place in the policy after those of the policies before."""
+    c = places(rollouts(spark, sf).select("policy", "rollout_id"), "rollout_id", ["policy"])
+    sizes = c.groupBy("policy").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(F.lit(0)).orderBy("policy").rowsBetween(Window.unboundedPreceding, -1)  # a row a policy
+    before = sizes.select("policy", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    return c.join(before, "policy").select("policy", "rollout_id", (F.col("before") + F.col("place")).alias("place"))
+
+
+def phase_order(spark, sf):
+    return spark.createDataFrame([(i, p.name, p.order) for i, p in enumerate(SPEC.ordered_phases())], "place long, name string, ord long")
 
 
 QUERIES = {
@@ -178,22 +215,30 @@ QUERIES = {
     "p11_a9_conjunction": lambda s, d: success(s, d).select("rollout_id", "status", "value", "margin"),
     "p12_squash": lambda s, d: measured(s, d).select("rollout_id", P.squash(P.evaluate("co_located", {"tol": TOL})["margin"] / 100, "co_located").alias("q")),
     "w2_final_window": lambda s, d: final(s, d).select("rollout_id", "t"),
-    "w4_c7_phase_coverage": phases,
-    "w11_c8_dtmc": dtmc,
-    "c1_success_predicates": c1,
+    "w4_c7_phase_coverage": coverage,
+    "w11_c8_dtmc": fields(lambda: E.sustained(replace(SPEC, success_sustain_frames=5), 2), "status", "value", "confidence"),
+    "w11_dtmc_run_of_three": fields(lambda: E.sustained(SPEC), "status", "value", "confidence"),
+    "c1_success_predicates": fields(lambda: E.success(SPEC), "status", "value", "confidence"),
     "c2_demo_match": demo_match,
-    "c3_demo_protos": lambda s, d: demo_bank(s, d).filter("is_demo").select("episode_id", "i", "v"),
-    "c5_goal_progress": progress,
-    "g1_binding_health": _signal(S.binding_health),
-    "g2_permanence": _signal(S.permanence),
-    "g3_motion_sanity": _signal(S.motion_sanity),
-    "g6_action_consistency": _signal(S.action_consistency, True, chunk=3),
-    "g7_track_continuity": _signal(S.track_continuity),
-    "g8_gate": lambda s, d: (lambda t: S.compose_gate(S.all_signals(t), S.unbound_required(t)))(D.tracks(s, d)),
+    "c3_demo_protos": lambda s, d: demo_bank(s, d).filter("is_demo").select("episode_id", F.posexplode("v").alias("i", "v")),
+    "c5_goal_progress": fields(lambda: E.goal_distance(D.SUBJECT, D.OBJECT), "status", "value", "confidence"),
+    "g1_binding_health": fields(E.binding_health, "signal", "status", "value", "reason"),
+    "g2_permanence": fields(E.permanence, "signal", "status", "value", "reason"),
+    "g3_motion_sanity": fields(E.motion_sanity, "signal", "status", "value"),
+    "g6_action_consistency": lambda s, d: rollouts(s, d, actions=D.actions(s, d)).select("rollout_id", E.action_consistency((D.EFFECTOR,), 3).alias("g")).select("rollout_id", "g.signal", "g.status", "g.value"),
+    "g7_track_continuity": fields(lambda: E.track_continuity(DIAGONAL), "signal", "status", "value"),
+    "g8_gate": gate_only,
     "v1_verdict": lambda s, d: verdicts(s, d).select("rollout_id", "verdict"),
-    "v2_short_circuit": lambda s, d: gated(s, d).select("rollout_id", "gate", "status", "value"),
-    "v3_full_verdict": full_verdict,
-    "u8_unbound_required": lambda s, d: S.unbound_required(D.tracks(s, d)).select("rollout_id", "missing"),
+    "v2_short_circuit": short_circuit,
+    "v3_full_verdict": lambda s, d: card_rows(graded(s, d)),
+    "x3_channel_scores": lambda s, d: channel_rows(graded(s, d)).select("rollout_id", "channel", "eligible", "status", "value"),
+    "f24_details": details,
+    "j15_first_channel": lambda s, d: graded(s, d).select("rollout_id", E.first_channel(F.col("channels"), "progress.goal_distance")["value"].alias("value")),
+    "a1_leaderboard": board_with_unknown,
+    "a21_reasons": first_reasons,
+    "o2_card_order": card_places,
+    "o3_phase_order": phase_order,
+    "u8_unbound_required": lambda s, d: rollouts(s, d).select("rollout_id", F.array_join(F.array_sort(F.transform(F.filter("bindings", lambda b: b["required"] & ~b["bound"]), lambda b: b["role"])), ",").alias("missing")).filter("missing <> ''"),
 }
 
 _M = """m AS (SELECT rollout_id, policy, count(*) AS n, count(sx) AS ss, count(ox) AS os, max(step) AS max_step, max(dist) AS max_dist, min(dist) AS min_dist,
@@ -211,28 +256,68 @@ _BOTH = "(n > 0 AND ss = n AND os = n)"
 _C1 = f"""{_M}, c AS (SELECT rollout_id, policy, {_BOTH} AS ok, least({TOL} - max_dist, coalesce({TOL_STILL} - max_step, {TOL_STILL})) AS mg,
   ({TOL} - max_dist > 0 AND coalesce({TOL_STILL} - max_step, {TOL_STILL}) >= 0) AS holds FROM m),
 s AS (SELECT rollout_id, policy, CASE WHEN ok THEN 'ok' ELSE 'evidence_missing' END AS status, CASE WHEN ok THEN holds::INT::DOUBLE END AS value, CASE WHEN ok THEN mg END AS margin FROM c)"""
-_SIG = """bh AS (SELECT rollout_id, bool_and(bound) FILTER (required) AS b, min(quality) FILTER (required) AS q FROM bindings GROUP BY 1),
+_SIG = """r AS (SELECT DISTINCT rollout_id FROM tracks), ro(o, role, required) AS (VALUES (0, 'click', true), (1, 'view', true), (2, 'purchase', false), (3, 'error', false), (4, 'signup', false)),
+bd AS (SELECT r.rollout_id, o, ro.role, ro.required, coalesce(b.bound, false) AS bound, coalesce(b.quality, 0) AS quality FROM r CROSS JOIN ro LEFT JOIN bindings b ON b.rollout_id = r.rollout_id AND b.role = ro.role),
+bh AS (SELECT rollout_id, bool_and(bound) FILTER (required) AS b, min(quality) FILTER (required) AS q, string_agg(role, ', ' ORDER BY role) FILTER (required AND NOT bound) AS lack, string_agg(role, ', ' ORDER BY role) FILTER (NOT required AND NOT bound) AS opt FROM bd GROUP BY 1),
 pk AS (SELECT *, greatest(2, n // 10) AS k FROM (SELECT rollout_id, role, t, vis, count(*) OVER p AS n, count(x) OVER p AS seen, sum(vis) OVER (p ORDER BY t ROWS UNBOUNDED PRECEDING) AS cs FROM tracks WINDOW p AS (PARTITION BY rollout_id, role))),
 pr AS (SELECT a.rollout_id, a.role, max(a.n) AS n, max(a.seen) AS seen, min((a.cs - coalesce(b.cs, 0)) / a.k) AS tail, max(CASE WHEN a.t = a.k - 1 THEN a.cs / a.k END) AS early
   FROM pk a LEFT JOIN pk b ON a.rollout_id = b.rollout_id AND a.role = b.role AND b.t = a.t - a.k WHERE a.t >= a.k - 1 GROUP BY ALL),
-pe AS (SELECT rollout_id, min(CASE WHEN early <= 0 THEN 1 ELSE least(1, greatest(0, tail / early)) END) AS v FROM pr WHERE seen > 0 AND n >= 4 GROUP BY 1),
+pe AS (SELECT rollout_id, min(ratio) AS v, arg_min(role, (ratio, o)) AS worst FROM (SELECT rollout_id, role, o, CASE WHEN early <= 0 THEN 1 ELSE least(1, greatest(0, tail / early)) END AS ratio FROM pr JOIN ro USING (role) WHERE seen > 0 AND n >= 4) GROUP BY 1),
 ms AS (SELECT rollout_id, least(1, 2 * avg(mv::INT::DOUBLE)) AS v FROM (SELECT rollout_id, t, bool_or(coalesce(st > 0.2, false)) AS mv FROM
   (SELECT rollout_id, t, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS st FROM tracks WINDOW w AS (PARTITION BY rollout_id, role ORDER BY t)) WHERE t > 0 GROUP BY ALL) GROUP BY 1),
-r AS (SELECT DISTINCT rollout_id FROM tracks),
-sig AS (SELECT rollout_id, 'binding_health' AS signal, CASE WHEN b THEN 'ok' ELSE 'evidence_missing' END AS status, CASE WHEN b THEN q END AS value FROM bh
- UNION ALL SELECT rollout_id, 'permanence', CASE WHEN v IS NULL THEN 'evidence_missing' ELSE 'ok' END, v FROM r LEFT JOIN pe USING (rollout_id)
- UNION ALL SELECT rollout_id, 'motion_sanity', 'ok', v FROM ms),
-gate AS (SELECT rollout_id, CASE max(sev) WHEN 0 THEN 'gradeable' WHEN 1 THEN 'degraded' ELSE 'ungradeable' END AS gate FROM (
- SELECT rollout_id, CASE WHEN status <> 'ok' THEN CASE WHEN signal = 'motion_sanity' THEN 1 ELSE 2 END
-   WHEN value < CASE signal WHEN 'permanence' THEN 0.5 WHEN 'binding_health' THEN 0.2 END THEN 2
-   WHEN value < CASE signal WHEN 'permanence' THEN 0.8 WHEN 'binding_health' THEN 0.5 ELSE 0.2 END THEN 1 ELSE 0 END AS sev FROM sig
- UNION ALL SELECT rollout_id, 2 FROM bh WHERE NOT b) GROUP BY 1)"""
-_GATED = f"""{_C1}, {_SIG}, gd AS (SELECT rollout_id, policy, gate, CASE WHEN gate = 'ungradeable' THEN 'skipped' ELSE status END AS status, CASE WHEN gate <> 'ungradeable' THEN value END AS value FROM s JOIN gate USING (rollout_id))"""
-_PROG = """pg AS (SELECT rollout_id, CASE WHEN k > 0 AND f > 0 THEN 'ok' ELSE 'evidence_missing' END AS status, CASE WHEN k > 0 AND f > 0 THEN least(1, greatest(0, 1 - l / nullif(f, 0))) END AS value,
-  CASE WHEN k > 0 AND f > 0 THEN cf ELSE 0 END AS confidence FROM (SELECT rollout_id, count(d) AS k, count(d)::DOUBLE / count(*) AS cf, arg_min(d, t) FILTER (d IS NOT NULL) AS f, arg_max(d, t) FILTER (d IS NOT NULL) AS l FROM
+sig AS (SELECT rollout_id, 0 AS o, 'binding_health' AS signal, CASE WHEN b THEN 'ok' ELSE 'evidence_missing' END AS status, CASE WHEN b THEN q END AS value, CASE WHEN b THEN '' ELSE 'required roles unbound: ' || lack END AS reason FROM bh
+ UNION ALL SELECT rollout_id, 1, 'permanence', CASE WHEN v IS NULL THEN 'evidence_missing' ELSE 'ok' END, v, CASE WHEN v IS NULL THEN 'no bound role has a visibility series' WHEN v < 0.5 THEN 'visibility of ''' || worst || ''' fell to ' || round(v + 1e-9::DOUBLE, 2)::VARCHAR || ' of its early level' ELSE '' END FROM r LEFT JOIN pe USING (rollout_id)
+ UNION ALL SELECT rollout_id, 2, 'motion_sanity', 'ok', coalesce(v, 0), '' FROM r LEFT JOIN ms USING (rollout_id)),
+lim(signal, lo, mid, needed) AS (VALUES ('binding_health', 0.2::DOUBLE, 0.5::DOUBLE, true), ('permanence', 0.5, 0.8, true), ('motion_sanity', NULL, 0.2, false)),
+fnd AS (SELECT rollout_id, -2 AS o, 2 AS sev, 'required roles unbound: ' || lack AS txt FROM bh WHERE lack IS NOT NULL
+ UNION ALL SELECT rollout_id, -1, 0, 'optional roles unbound, without effect: ' || opt FROM bh WHERE opt IS NOT NULL
+ UNION ALL SELECT rollout_id, o, CASE WHEN status <> 'ok' THEN CASE WHEN needed THEN 2 ELSE 1 END WHEN value < lo THEN 2 ELSE 1 END,
+  CASE WHEN status <> 'ok' THEN 'no evidence for ' || signal || ': ' || reason ELSE signal || ' ' || round(value + 1e-9::DOUBLE, 3)::VARCHAR || ' below ' || CASE WHEN value < lo THEN lo::VARCHAR || CASE WHEN reason <> '' THEN ' (' || reason || ')' ELSE '' END ELSE mid::VARCHAR END END
+  FROM sig JOIN lim USING (signal) WHERE status <> 'ok' OR coalesce(value < lo, false) OR value < mid),
+gate AS (SELECT r.rollout_id, CASE coalesce(max(sev), 0) WHEN 0 THEN 'gradeable' WHEN 1 THEN 'degraded' ELSE 'ungradeable' END AS gate, coalesce(string_agg(txt, ' | ' ORDER BY o), '') AS reasons,
+  coalesce(string_agg('gate: ' || txt, ' | ' ORDER BY o), '') AS held FROM r LEFT JOIN fnd ON fnd.rollout_id = r.rollout_id GROUP BY 1)"""
+_PROG = """pg AS (SELECT rollout_id, CASE WHEN k > 0 THEN 'ok' ELSE 'evidence_missing' END AS status, CASE WHEN k > 0 THEN least(1, greatest(0, 1 - l / greatest(f, 1e-6::DOUBLE))) END AS value,
+  CASE WHEN k > 0 THEN cf ELSE 0 END AS confidence FROM (SELECT rollout_id, count(d) AS k, count(d)::DOUBLE / count(*) AS cf, arg_min(d, t) FILTER (d IS NOT NULL) AS f, arg_max(d, t) FILTER (d IS NOT NULL) AS l FROM
   (SELECT rollout_id, t, sqrt(pow(sx - avg(ox) OVER w, 2) + pow(sy - avg(oy) OVER w, 2)) AS d FROM frames WINDOW w AS (PARTITION BY rollout_id)) GROUP BY 1))"""
-_EMB = """tl AS (SELECT episode_id, is_success, is_demo, i - 1 AS i, avg(emb[i]::DOUBLE) AS v FROM (SELECT *, max(t) OVER (PARTITION BY episode_id) AS top FROM frame_emb), range(1, 65) u(i) WHERE t > top - 2 GROUP BY ALL),
-bank AS (SELECT episode_id, is_success, is_demo, i, v / sqrt(sum(v * v) OVER (PARTITION BY episode_id)) AS v FROM tl)"""
+_EMB = """tl AS (SELECT episode_id, is_success, is_demo, i - 1 AS i, avg(emb[i]::DOUBLE) AS v FROM (SELECT *, max(t) OVER (PARTITION BY episode_id) + 1 AS n FROM frame_emb), range(1, 65) u(i) WHERE t >= floor(n * 0.8::DOUBLE) GROUP BY ALL),
+bank AS (SELECT episode_id, is_success, is_demo, i, v / sqrt(sum(v * v) OVER (PARTITION BY episode_id)) AS v FROM tl),
+dpr AS (SELECT i, avg(v) FILTER (is_success) AS s, avg(v) FILTER (NOT is_success) AS f FROM bank WHERE is_demo GROUP BY 1),
+dm AS (SELECT episode_id, sum(v * (s - f)) AS margin FROM bank JOIN dpr USING (i) WHERE NOT is_demo GROUP BY 1)"""
+_CARDS = f"""{_C1}, {_SIG}, {_EMB}, pq AS (SELECT rollout_id, ss = n AS click_seen, {TOL} - max_dist > 0 AS near, coalesce({TOL_STILL} - max_step, {TOL_STILL}) >= 0 AS still FROM m),
+vt AS (SELECT s.rollout_id, s.policy, gate, reasons AS gate_reasons, held, s.status = 'ok' AS ok, near, still, value, 1 / (1 + exp(-margin_d / 0.05)) AS demo, CASE WHEN click_seen THEN '''view''' ELSE '''click''' END || ' unobserved in the window' AS why
+  FROM s JOIN gate USING (rollout_id) JOIN pq USING (rollout_id) LEFT JOIN (SELECT episode_id AS rollout_id, margin AS margin_d FROM dm) d USING (rollout_id)),
+vv AS (SELECT *, coalesce(value >= 0.5, false) OR coalesce(demo >= 0.5, false) AS y, coalesce(value < 0.5, false) OR coalesce(demo < 0.5, false) AS no,
+  CASE WHEN NOT ok THEN 'success.predicates: evidence_missing (' || why || ')' END AS lack_a, CASE WHEN demo IS NULL THEN 'success.demo_match: evidence_missing (no embedded frames)' END AS lack_b FROM vt),
+card AS (SELECT rollout_id, policy, gate, gate_reasons, CASE WHEN gate = 'ungradeable' THEN 'abstain' WHEN y AND NOT no THEN 'pass' WHEN no AND NOT y THEN 'fail' ELSE 'abstain' END AS verdict,
+  CASE WHEN gate = 'ungradeable' OR NOT ok THEN '' ELSE concat_ws(' | ', CASE WHEN near THEN 'co_located(click, view)' END, CASE WHEN still THEN 'stationary(click)' END) END AS satisfied,
+  CASE WHEN gate = 'ungradeable' OR NOT ok THEN '' ELSE concat_ws(' | ', CASE WHEN NOT near THEN 'co_located(click, view)' END, CASE WHEN NOT still THEN 'stationary(click)' END) END AS violated,
+  CASE WHEN gate = 'ungradeable' THEN held WHEN NOT y AND NOT no THEN concat_ws(' | ', lack_a, lack_b) ELSE concat_ws(' | ', 'dropped without evidence: ' || nullif(concat_ws('; ', lack_a, lack_b), ''),
+   CASE WHEN y AND no THEN 'channels conflict: pass ' || CASE WHEN value >= 0.5 THEN 'success.predicates; fail success.demo_match' ELSE 'success.demo_match; fail success.predicates' END END) END AS reasons FROM vv)"""
+_PHASES = """n AS (SELECT rollout_id, count(*) AS n FROM frames GROUP BY 1), st AS (SELECT rollout_id, t AS t0, n FROM frames JOIN n USING (rollout_id)),
+w AS (SELECT st.rollout_id, st.t0, st.n, f.t, sx, ox, sqrt(pow(sx - ox, 2) + pow(sy - oy, 2)) AS d,
+  CASE WHEN f.t > st.t0 THEN sqrt(pow(sx - lag(sx) OVER k, 2) + pow(sy - lag(sy) OVER k, 2)) END AS stp FROM st JOIN frames f ON f.rollout_id = st.rollout_id AND f.t BETWEEN st.t0 AND st.t0 + 4 WINDOW k AS (PARTITION BY st.rollout_id, st.t0 ORDER BY f.t)),
+h AS (SELECT rollout_id, t0, any_value(n) AS n, count(sx) = count(*) AND count(ox) = count(*) AND count(*) >= 3 AS e0, count(sx) = count(*) AND count(ox) = count(*) AS e1, count(sx) = count(*) AS e2,
+  coalesce(regr_slope(d, t) < 0, false) AS h0, coalesce(max(d) < 200, false) AS h1, coalesce(200 - max(stp), 200) >= 0 AS h2 FROM w GROUP BY rollout_id, t0),
+p0 AS (SELECT rollout_id, min(t0) FILTER (e0 AND h0 AND t0 % 2 = 0 AND t0 <= greatest(0, n - 6)) AS c0, coalesce(bool_or(e0) FILTER (t0 % 2 = 0 AND t0 <= greatest(0, n - 6)), false) AS k0 FROM h GROUP BY 1),
+p1 AS (SELECT rollout_id, any_value(c0) AS c0, any_value(k0) AS k0, any_value(a) AS a, min(t0) FILTER (e1 AND h1 AND t0 >= a AND (t0 - a) % 2 = 0 AND t0 <= greatest(a, n - 6)) AS c1,
+  coalesce(bool_or(e1) FILTER (t0 >= a AND (t0 - a) % 2 = 0 AND t0 <= greatest(a, n - 6)), false) AS k1 FROM h JOIN (SELECT *, coalesce(c0, 0) AS a FROM p0) USING (rollout_id) GROUP BY 1),
+p2 AS (SELECT rollout_id, any_value(c0) AS c0, any_value(c1) AS c1, any_value(k0) OR any_value(k1) OR coalesce(bool_or(e2) FILTER (t0 >= b AND (t0 - b) % 2 = 0 AND t0 <= greatest(b, n - 6)), false) AS k,
+  min(t0) FILTER (e2 AND h2 AND t0 >= b AND (t0 - b) % 2 = 0 AND t0 <= greatest(b, n - 6)) AS c2 FROM h JOIN (SELECT *, coalesce(c1, a) AS b FROM p1) USING (rollout_id) GROUP BY 1),
+ph AS (SELECT *, ((c0 IS NOT NULL)::INT + (c1 IS NOT NULL)::INT + (c2 IS NOT NULL)::INT) / 3.0::DOUBLE AS x FROM p2)"""
+
+
+def _dtmc(k, stride):
+    """The chain's SQL for runs of k over every stride-th two-frame window."""
+    alive = " + ".join(f"r{i}" for i in range(k))
+    grown = "".join(f"r{i - 1} * coalesce(q, 0), " for i in range(1, k))
+    return f"""WITH RECURSIVE f AS (SELECT rollout_id, t // {stride} AS i, t, lead(t) OVER w AS nx, sqrt(pow(sx - ox, 2) + pow(sy - oy, 2)) AS d0, lead(sqrt(pow(sx - ox, 2) + pow(sy - oy, 2))) OVER w AS d1,
+  sqrt(pow(lead(sx) OVER w - sx, 2) + pow(lead(sy) OVER w - sy, 2)) AS sp FROM frames WINDOW w AS (PARTITION BY rollout_id ORDER BY t)),
+q AS (SELECT rollout_id, i, CASE WHEN d0 IS NOT NULL AND d1 IS NOT NULL THEN (1 / (1 + exp(-({TOL} - greatest(d0, d1)) / 3.0))) * (1 / (1 + exp(-({TOL_STILL} - sp) / 0.5))) END AS q FROM f WHERE nx IS NOT NULL AND t % {stride} = 0),
+ch AS (SELECT rollout_id, 0::BIGINT AS i, 1.0::DOUBLE AS r0, {''.join(f'0.0::DOUBLE AS r{i}, ' for i in range(1, k))}0.0::DOUBLE AS hit FROM (SELECT DISTINCT rollout_id FROM q)
+ UNION ALL SELECT ch.rollout_id, ch.i + 1, ({alive}) * (1 - coalesce(q, 0)), {grown}hit + r{k - 1} * coalesce(q, 0) FROM ch JOIN q ON q.rollout_id = ch.rollout_id AND q.i = ch.i),
+e AS (SELECT rollout_id, arg_max(hit, i) AS hit FROM ch GROUP BY 1), g AS (SELECT rollout_id, count(q) AS ok, count(*) AS n FROM q GROUP BY 1)
+SELECT rollout_id, CASE WHEN ok > 0 THEN 'ok' ELSE 'evidence_missing' END AS status, CASE WHEN ok > 0 THEN hit END AS value, CASE WHEN ok > 0 THEN ok::DOUBLE / n ELSE 0 END AS confidence FROM g JOIN e USING (rollout_id)"""
+
 
 ORACLES = {
     "flagship_leaderboard": ("pass_rate", f"""WITH {_C1}, v AS (SELECT policy, CASE WHEN status <> 'ok' THEN 'abstain' WHEN value >= 0.5 THEN 'pass' ELSE 'fail' END AS v FROM s)
@@ -249,44 +334,40 @@ SELECT policy, count(*) AS n, count(*) FILTER (v <> 'abstain') AS graded, count(
     "p11_a9_conjunction": ("value margin", f"WITH {_C1} SELECT rollout_id, status, value, margin FROM s"),
     "p12_squash": ("q", f"WITH {_M} SELECT rollout_id, 1 / (1 + exp(-(CASE WHEN {_BOTH} THEN {TOL} - max_dist ELSE 0 END / 100) / 3.0)) AS q FROM m"),
     "w2_final_window": ("", "SELECT rollout_id, t::INT AS t FROM fin"),
-    "w4_c7_phase_coverage": ("value", """WITH n AS (SELECT rollout_id, count(*) AS n FROM frames GROUP BY 1),
-st AS (SELECT rollout_id, t AS t0, n FROM frames JOIN n USING (rollout_id) WHERE t = 0 OR t < n - 5),
-w AS (SELECT st.rollout_id, st.t0, f.t, sx, ox, sqrt(pow(sx - ox, 2) + pow(sy - oy, 2)) AS d,
-  CASE WHEN f.t > st.t0 THEN sqrt(pow(sx - lag(sx) OVER k, 2) + pow(sy - lag(sy) OVER k, 2)) END AS stp FROM st JOIN frames f ON f.rollout_id = st.rollout_id AND f.t BETWEEN st.t0 AND st.t0 + 4 WINDOW k AS (PARTITION BY st.rollout_id, st.t0 ORDER BY f.t)),
-h AS (SELECT rollout_id, t0, coalesce(count(sx) = count(*) AND count(ox) = count(*) AND count(*) >= 3 AND regr_slope(d, t) < 0, false) AS h0,
-  coalesce(count(sx) = count(*) AND count(ox) = count(*) AND max(d) < 200, false) AS h1, coalesce(count(sx) = count(*) AND coalesce(200 - max(stp), 200) >= 0, false) AS h2 FROM w GROUP BY ALL),
-a AS (SELECT rollout_id, min(t0) FILTER (h0 AND t0 % 2 = 0) AS c0 FROM h GROUP BY 1),
-b AS (SELECT h.rollout_id, any_value(c0) AS c0, min(t0) FILTER (h1 AND t0 >= c0 AND (t0 - c0) % 2 = 0) AS c1 FROM h JOIN a USING (rollout_id) GROUP BY 1),
-c AS (SELECT h.rollout_id, any_value(c0) AS c0, any_value(c1) AS c1, min(t0) FILTER (h2 AND t0 >= c1 AND (t0 - c1) % 2 = 0) AS c2 FROM h JOIN b USING (rollout_id) GROUP BY 1)
-SELECT rollout_id, ((c0 IS NOT NULL)::INT + (c1 IS NOT NULL)::INT + (c2 IS NOT NULL)::INT) / 3.0 AS value, coalesce(c0, -1)::BIGINT AS t_first FROM c"""),
-    "w11_c8_dtmc": ("value confidence", f"""WITH RECURSIVE f AS (SELECT rollout_id, t // 2 AS i, t, lead(t) OVER w AS nx, sqrt(pow(sx - ox, 2) + pow(sy - oy, 2)) AS d0, lead(sqrt(pow(sx - ox, 2) + pow(sy - oy, 2))) OVER w AS d1,
-  sqrt(pow(lead(sx) OVER w - sx, 2) + pow(lead(sy) OVER w - sy, 2)) AS sp FROM frames WINDOW w AS (PARTITION BY rollout_id ORDER BY t)),
-q AS (SELECT rollout_id, i, CASE WHEN d0 IS NOT NULL AND d1 IS NOT NULL THEN (1 / (1 + exp(-({TOL} - greatest(d0, d1)) / 3.0))) * (1 / (1 + exp(-({TOL_STILL} - sp) / 0.5))) END AS q FROM f WHERE nx IS NOT NULL AND t % 2 = 0),
-ch AS (SELECT rollout_id, 0::BIGINT AS i, 1.0::DOUBLE AS r0, 0.0::DOUBLE AS r1, 0.0::DOUBLE AS hit FROM (SELECT DISTINCT rollout_id FROM q)
- UNION ALL SELECT ch.rollout_id, ch.i + 1, (r0 + r1) * (1 - coalesce(q, 0)), r0 * coalesce(q, 0), hit + r1 * coalesce(q, 0) FROM ch JOIN q ON q.rollout_id = ch.rollout_id AND q.i = ch.i),
-e AS (SELECT rollout_id, arg_max(hit, i) AS hit FROM ch GROUP BY 1), g AS (SELECT rollout_id, count(q) AS ok, count(*) AS n FROM q GROUP BY 1)
-SELECT rollout_id, CASE WHEN ok > 0 THEN 'ok' ELSE 'evidence_missing' END AS status, CASE WHEN ok > 0 THEN hit END AS value, ok::DOUBLE / n AS confidence FROM g JOIN e USING (rollout_id)"""),
-    "c1_success_predicates": ("value confidence", f"WITH {_C1} SELECT rollout_id, status, value, 1 / (1 + exp(-margin / 3)) AS confidence FROM s"),
-    "c2_demo_match": ("margin value confidence", f"""WITH {_EMB}, pr AS (SELECT i, avg(v) FILTER (is_success) AS s, avg(v) FILTER (NOT is_success) AS f FROM bank WHERE is_demo GROUP BY 1),
-x AS (SELECT episode_id, sum(v * (s - f)) AS margin FROM bank JOIN pr USING (i) WHERE NOT is_demo GROUP BY 1)
-SELECT episode_id, margin, 1 / (1 + exp(-margin / 0.05)) AS value, least(1, abs(margin) / 0.05 / 4) AS confidence FROM x"""),
+    "w4_c7_phase_coverage": ("value confidence", f"""WITH {_PHASES} SELECT rollout_id, CASE WHEN k THEN 'ok' ELSE 'evidence_missing' END AS status, CASE WHEN k THEN x END AS value, CASE WHEN k THEN x ELSE 0 END AS confidence,
+  CASE WHEN NOT k THEN 'no phase could be evaluated in any window' WHEN x < 1 THEN 'never met in order: ' || concat_ws(', ', CASE WHEN c0 IS NULL THEN 'approach' END, CASE WHEN c1 IS NULL THEN 'arrive' END, CASE WHEN c2 IS NULL THEN 'settle' END) ELSE '' END AS reason,
+  CASE WHEN k THEN coalesce(c0, -1) ELSE -1 END::BIGINT AS t_approach, CASE WHEN k THEN coalesce(c1, -1) ELSE -1 END::BIGINT AS t_arrive, CASE WHEN k THEN coalesce(c2, -1) ELSE -1 END::BIGINT AS t_settle FROM ph"""),
+    "w11_c8_dtmc": ("value confidence", _dtmc(2, 2)),
+    "w11_dtmc_run_of_three": ("value confidence", _dtmc(3, 1)),
+    "c1_success_predicates": ("value confidence", f"WITH {_C1} SELECT rollout_id, status, value, coalesce(1 / (1 + exp(-margin / 3)), 0) AS confidence FROM s"),
+    "c2_demo_match": ("margin value confidence", f"WITH {_EMB} SELECT episode_id, margin, 1 / (1 + exp(-margin / 0.05)) AS value, least(1, abs(margin) / 0.05 / 4) AS confidence FROM dm"),
     "c3_demo_protos": ("v", f"WITH {_EMB} SELECT episode_id, i::INT AS i, v FROM bank WHERE is_demo"),
     "c5_goal_progress": ("value confidence", f"WITH {_PROG} SELECT * FROM pg"),
-    "g1_binding_health": ("value", f"WITH {_SIG} SELECT * FROM sig WHERE signal = 'binding_health'"),
-    "g2_permanence": ("value", f"WITH {_SIG} SELECT * FROM sig WHERE signal = 'permanence'"),
-    "g3_motion_sanity": ("value", f"WITH {_SIG} SELECT * FROM sig WHERE signal = 'motion_sanity'"),
-    "g6_action_consistency": ("value", """WITH f AS (SELECT rollout_id, t, gx, gy, CASE WHEN rollout_id % 2 = 1 THEN -1.0 ELSE 1.0 END * (gx - lag(gx) OVER w) AS ax, CASE WHEN rollout_id % 2 = 1 THEN -1.0 ELSE 1.0 END * (gy - lag(gy) OVER w) AS ay, count(*) OVER (PARTITION BY rollout_id) AS n FROM frames WINDOW w AS (PARTITION BY rollout_id ORDER BY t)),
-g AS (SELECT rollout_id, t // 3 AS c, sum(coalesce(ax, 0)) AS cx, sum(coalesce(ay, 0)) AS cy, max(gx) FILTER (t % 3 = 2) - max(gx) FILTER (t % 3 = 0) AS dx, max(gy) FILTER (t % 3 = 2) - max(gy) FILTER (t % 3 = 0) AS dy FROM f WHERE (t // 3) * 3 < n - 3 GROUP BY ALL),
+    "g1_binding_health": ("value", f"WITH {_SIG} SELECT rollout_id, signal, status, value, reason FROM sig WHERE signal = 'binding_health'"),
+    "g2_permanence": ("value", f"WITH {_SIG} SELECT rollout_id, signal, status, value, reason FROM sig WHERE signal = 'permanence'"),
+    "g3_motion_sanity": ("value", f"WITH {_SIG} SELECT rollout_id, signal, status, value FROM sig WHERE signal = 'motion_sanity'"),
+    "g6_action_consistency": ("value", """WITH f AS (SELECT rollout_id, t, gx, gy, ax, ay, count(*) OVER (PARTITION BY rollout_id) AS n, count(gx) OVER (PARTITION BY rollout_id) AS seen FROM frames JOIN actions USING (rollout_id, t)),
+g AS (SELECT rollout_id, t // 3 AS c, sum(ax) AS cx, sum(ay) AS cy, max(gx) FILTER (t % 3 = 2) - max(gx) FILTER (t % 3 = 0) AS dx, max(gy) FILTER (t % 3 = 2) - max(gy) FILTER (t % 3 = 0) AS dy FROM f WHERE seen > 4 AND (t // 3) * 3 < n - 3 GROUP BY ALL),
 h AS (SELECT rollout_id, CASE WHEN sqrt(cx*cx + cy*cy) >= 1e-3 AND sqrt(dx*dx + dy*dy) >= 1e-6 THEN (cx*dx + cy*dy) / (sqrt(cx*cx + cy*cy) * sqrt(dx*dx + dy*dy)) END AS cs FROM g)
-SELECT rollout_id, 'action_consistency' AS signal, CASE WHEN count(cs) >= 3 THEN 'ok' ELSE 'evidence_missing' END AS status, CASE WHEN count(cs) >= 3 THEN (median(cs) + 1) / 2 END AS value FROM h GROUP BY 1"""),
+SELECT r.rollout_id, 'action_video_consistency' AS signal, CASE WHEN count(cs) >= 3 THEN 'ok' ELSE 'evidence_missing' END AS status, CASE WHEN count(cs) >= 3 THEN (median(cs) + 1) / 2 END AS value FROM (SELECT DISTINCT rollout_id FROM tracks) r LEFT JOIN h USING (rollout_id) GROUP BY 1"""),
     "g7_track_continuity": ("value", """WITH o AS (SELECT rollout_id, role, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS st FROM tracks WHERE x IS NOT NULL WINDOW w AS (PARTITION BY rollout_id, role ORDER BY t)),
-r AS (SELECT rollout_id, role, quantile_cont(st, 0.99::DOUBLE) AS p FROM o GROUP BY ALL HAVING count(*) >= 4)
-SELECT rollout_id, 'track_continuity' AS signal, 'ok' AS status, min(exp(-p / 60.0)) AS value FROM r GROUP BY 1"""),
-    "g8_gate": ("", f"WITH {_SIG} SELECT * FROM gate"),
+q AS (SELECT rollout_id, role, quantile_cont(st, 0.99::DOUBLE) AS p FROM o GROUP BY ALL HAVING count(*) >= 4)
+SELECT r.rollout_id, 'track_continuity' AS signal, CASE WHEN count(p) > 0 THEN 'ok' ELSE 'evidence_missing' END AS status, min(exp(-p / 60.0)) AS value FROM (SELECT DISTINCT rollout_id FROM tracks) r LEFT JOIN q USING (rollout_id) GROUP BY 1"""),
+    "g8_gate": ("", f"WITH {_SIG} SELECT rollout_id, gate, reasons FROM gate"),
     "v1_verdict": ("", f"WITH {_C1} SELECT rollout_id, CASE WHEN status <> 'ok' THEN 'abstain' WHEN value >= 0.5 THEN 'pass' ELSE 'fail' END AS verdict FROM s"),
-    "v2_short_circuit": ("value", f"WITH {_GATED} SELECT rollout_id, gate, status, value FROM gd"),
-    "v3_full_verdict": ("", f"""WITH {_GATED}, {_PROG}, vt AS (SELECT rollout_id, gd.policy, gate, CASE WHEN gd.status = 'ok' THEN gd.value END AS a, CASE WHEN pg.status = 'ok' THEN pg.value END AS b FROM gd JOIN pg USING (rollout_id)),
-yn AS (SELECT *, coalesce(a >= 0.5, false) OR coalesce(b >= 0.5, false) AS y, coalesce(a < 0.5, false) OR coalesce(b < 0.5, false) AS no FROM vt)
-SELECT rollout_id, policy, gate, CASE WHEN gate = 'ungradeable' THEN 'abstain' WHEN y AND NOT no THEN 'pass' WHEN no AND NOT y THEN 'fail' ELSE 'abstain' END AS verdict FROM yn"""),
-    "u8_unbound_required": ("", "SELECT rollout_id, string_agg(role, ',' ORDER BY role) AS missing FROM bindings WHERE required AND NOT bound GROUP BY 1"),
+    "v2_short_circuit": ("value", f"WITH {_C1}, {_SIG} SELECT rollout_id, gate, CASE WHEN gate = 'ungradeable' THEN 'skipped' ELSE status END AS status, CASE WHEN gate <> 'ungradeable' THEN value END AS value FROM s JOIN gate USING (rollout_id)"),
+    "v3_full_verdict": ("", f"WITH {_CARDS} SELECT * FROM card"),
+    "x3_channel_scores": ("value", f"""WITH {_CARDS}, {_PROG}, {_PHASES}, tld AS (SELECT * FROM ({_dtmc(3, 1)})), cv AS (SELECT rollout_id, 'success.predicates' AS channel, true AS eligible, status, value FROM s
+ UNION ALL SELECT rollout_id, 'success.demo_match', true, CASE WHEN demo IS NULL THEN 'evidence_missing' ELSE 'ok' END, demo FROM vt UNION ALL SELECT rollout_id, 'progress.goal_distance', false, status, value FROM pg
+ UNION ALL SELECT rollout_id, 'phase.ordered_coverage', false, CASE WHEN k THEN 'ok' ELSE 'evidence_missing' END, CASE WHEN k THEN x END FROM ph UNION ALL SELECT rollout_id, 'success.tl_dtmc', false, status, value FROM tld)
+SELECT rollout_id, channel, eligible, CASE WHEN gate = 'ungradeable' THEN 'skipped' ELSE status END AS status, CASE WHEN gate <> 'ungradeable' THEN value END AS value FROM cv JOIN gate USING (rollout_id)"""),
+    "f24_details": ("value", f"""WITH {_M}, d AS (SELECT rollout_id, {TOL} - max_dist AS a, coalesce({TOL_STILL} - max_step, {TOL_STILL}) AS b FROM m WHERE {_BOTH})
+SELECT rollout_id, 'pred:co_located(click, view)' AS key, (a > 0)::INT::DOUBLE AS value FROM d UNION ALL SELECT rollout_id, 'pred:stationary(click)', (b >= 0)::INT::DOUBLE FROM d
+UNION ALL SELECT rollout_id, 'margin:co_located(click, view)', round(a + 1e-9::DOUBLE, 3) FROM d UNION ALL SELECT rollout_id, 'margin:stationary(click)', round(b + 1e-9::DOUBLE, 3) FROM d"""),
+    "j15_first_channel": ("value", f"WITH {_SIG}, {_PROG} SELECT rollout_id, CASE WHEN gate <> 'ungradeable' THEN value END AS value FROM pg JOIN gate USING (rollout_id)"),
+    "a1_leaderboard": ("pass_rate", f"WITH {_CARDS} SELECT CASE WHEN rollout_id % 7 = 0 THEN '<unknown>' ELSE policy END AS policy, count(*) AS n, count(*) FILTER (verdict <> 'abstain') AS graded, count(*) FILTER (verdict = 'abstain') AS abstained, count(*) FILTER (verdict = 'pass')::DOUBLE / nullif(count(*) FILTER (verdict <> 'abstain'), 0) AS pass_rate FROM card GROUP BY 1"),
+    "a21_reasons": ("", f"WITH {_M} SELECT rollout_id, concat_ws('; ', CASE WHEN os < n THEN '''view'' unobserved in the window' END, CASE WHEN ss < n THEN '''click'' unobserved in the window' END) AS reason FROM m WHERE NOT {_BOTH}"),
+    "o2_card_order": ("", "SELECT policy, rollout_id, row_number() OVER (ORDER BY policy, rollout_id) - 1 AS place FROM (SELECT DISTINCT policy, rollout_id FROM tracks)"),
+    "o3_phase_order": ("", "SELECT row_number() OVER (ORDER BY ord) - 1 AS place, name, ord::BIGINT AS ord FROM (VALUES ('approach', 0), ('settle', 2), ('arrive', 1)) v(name, ord)"),
+    "u8_unbound_required": ("", f"WITH {_SIG} SELECT rollout_id, replace(lack, ', ', ',') AS missing FROM bh WHERE lack IS NOT NULL"),
 }

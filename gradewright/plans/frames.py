@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewright.operators import induction, linking, pixels
-from gradewright.operators.signals import DIAGONAL
 from gradewright.sources import domain as D
 from gradewright.streaming import windows
 
+from .evaluation import DIAGONAL
+
 #: The views' frames, ours: a column of pixels a role, WIDTH x HEIGHT; masks of two roles.
 ROLES = ("click", "error", "purchase", "signup", "view")
 WIDTH, HEIGHT, AREA, NEAR, MOVING = len(ROLES), 4, 2, 1, 0.2

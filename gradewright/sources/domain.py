@@ -56,6 +56,15 @@ def regions(tracks: DataFrame) -> DataFrame:
         F.countDistinct(F.when(F.col("x").isNotNull(), F.struct(F.floor("x").alias("a"), F.floor("y").alias("b")))).alias("area"))
 
 
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rollout_id, policy, t, ax, ay: the effector's own steps (0 where unknown); those of odd rollouts are turned round, to contradict the video."""
+    f = frames(tracks(spark, sf_dir))
+    w = Window.partitionBy("rollout_id").orderBy("t")
+    sign = F.when(F.col("rollout_id") % 2 == 1, -1.0).otherwise(1.0)
+    step = lambda c: F.coalesce(sign * (F.col(c) - F.lag(c).over(w)), F.lit(0.0))
+    return f.select("rollout_id", "policy", "t", step("gx").alias("ax"), step("gy").alias("ay"))
+
+
 def golds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("rollout_id")).agg(F.max("quality").alias("q")).select("rollout_id", (F.col("q") == 1).alias("success"))
 
@@ -91,6 +100,7 @@ fin AS (SELECT * FROM (SELECT *, max(t) OVER (PARTITION BY rollout_id) + 1 AS T_
 bindings AS (SELECT rollout_id, policy, role, count(x) > 0 AS bound, count(x)::DOUBLE / count(*) AS quality, role IN ('click', 'view') AS required FROM tracks GROUP BY ALL),
 regions AS (SELECT rollout_id, floor(min(x))::BIGINT AS x0, floor(min(y))::BIGINT AS y0, floor(max(x))::BIGINT + 1 AS x1, floor(max(y))::BIGINT + 1 AS y1,
   count(DISTINCT CASE WHEN x IS NOT NULL THEN (floor(x), floor(y)) END) AS area FROM tracks WHERE role = 'view' GROUP BY 1),
+actions AS (SELECT rollout_id, policy, t, coalesce(s * (gx - lag(gx) OVER w), 0) AS ax, coalesce(s * (gy - lag(gy) OVER w), 0) AS ay FROM (SELECT *, CASE WHEN rollout_id % 2 = 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS s FROM frames) WINDOW w AS (PARTITION BY rollout_id ORDER BY t)),
 golds AS (SELECT doc_id AS rollout_id, max(quality) = 1 AS success FROM labels GROUP BY 1),
 signal_cal AS (SELECT value, event_type = 'error' AS broken FROM events),
 frame_emb AS (SELECT vec_id // 8 AS episode_id, vec_id % 8 AS t, embedding AS emb, first_value(label) OVER (PARTITION BY vec_id // 8 ORDER BY vec_id) < 5 AS is_success, (vec_id // 8) % 2 = 0 AS is_demo FROM embeddings)

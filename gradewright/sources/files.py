@@ -24,11 +24,18 @@ YES, NO = ("success", "pass", "true"), ("fail", "failure", "false")
 REASON = 240
 
 
+def merged(left: Column, right: Column) -> Column:
+    """Two maps as one, the right one's value where both hold a key; a null map counts as empty."""
+    none = F.expr("cast(map() as map<string,string>)")
+    left, right = F.coalesce(left, none), F.coalesce(right, none)
+    return F.map_concat(F.map_filter(left, lambda k, _: ~F.array_contains(F.map_keys(right), k)), right)
+
+
 def rollouts(spark: SparkSession, root: str, upgrades: Upgrades | None = None) -> DataFrame:
     """Every rollout.json below root, upgraded, with its folder in `dir` and in meta under _dir. Sort by dir where order matters."""
     d = spark.read.schema(ROLLOUT).option("recursiveFileLookup", True).option("pathGlobFilter", "rollout.json").json(root, multiLine=True)
     d = d.withColumn("dir", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
-    d = d.withColumn("meta", F.map_concat(F.coalesce("meta", F.expr("cast(map() as map<string,string>)")), F.create_map(F.lit("_dir"), F.col("dir"))))
+    d = d.withColumn("meta", merged(F.col("meta"), F.create_map(F.lit("_dir"), F.col("dir"))))
     d = d.withColumns({"fps": F.coalesce("fps", F.lit(10.0)), "n_frames": F.coalesce("n_frames", F.lit(0)), "policy": F.coalesce("policy", F.lit("")), "source": F.coalesce("source", F.lit(""))})
     return (upgrades or Upgrades()).apply("rollout", d)
 
