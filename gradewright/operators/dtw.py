@@ -42,13 +42,13 @@ def cost(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _points(c: pa.Array) -> Iterator[np.ndarray]:
-    flat = np.column_stack([c.flatten().field(k).to_numpy(zero_copy_only=False).astype(float) for k in ("x", "y")])
+    flat = np.column_stack([c.flatten().field(k).to_numpy(zero_copy_only=False).astype(float) for k in ("x", "y")])  # null lists hold nothing
     ends = np.cumsum([0, *(len(x) if x.is_valid else 0 for x in c)])
     return (flat[i:j] for i, j in zip(ends, ends[1:]))
 
 
 def demo_scores(tracks: DataFrame, demos: Sequence[Sequence[tuple]], key: str = "rollout_id", scale: float = SCALE) -> DataFrame:
-    """tracks (key long, points array<struct<x, y>>, null coordinates unobserved) and demo tracks -> key, score of
+    """tracks (key, points array<struct<x, y>>, null coordinates unobserved) and demo tracks -> key, score of
     trajectory.dtw_demo: exp(-least distance to any demo / scale), confidence the share of observed points."""
     if len(demos) > MAX_DEMOS:
         raise SpecError(f"{len(demos)} demo tracks; at most {MAX_DEMOS} are compared")
@@ -65,8 +65,9 @@ def demo_scores(tracks: DataFrame, demos: Sequence[Sequence[tuple]], key: str =
                 least.append(min(cost(q, d) for d in bank) if usable and q is not None else None)
             yield pa.record_batch([b.column(0), pa.array(least, pa.float64()), pa.array(share, pa.float64()), pa.array(short)], ["key", "d", "share", "short"])
 
-    points = tracks.select(F.col(key).cast("long").alias("key"), F.transform("points", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("points"))
-    d = points.mapInArrow(run, "key long, d double, share double, short boolean")
+    kind = tracks.schema[key].dataType.simpleString()
+    points = tracks.select(F.col(key).alias("key"), F.transform("points", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("points"))
+    d = points.mapInArrow(run, f"key {kind}, d double, share double, short boolean")
     why = F.when(F.lit(not bank), "no demo tracks").when(F.lit(not usable), "a demo track has too few observed points").when(F.col("short"), "too few observed points")
     detail = F.create_map(F.lit("min_dtw"), F.round(F.col("d") + 1e-9, 4), F.lit("n_refs"), F.lit(float(len(bank))))
     return d.select(F.col("key").alias(key), score("trajectory.dtw_demo", F.col("d").isNotNull(), F.exp(-F.col("d") / scale), F.col("share"), why, detail).alias("score"))

@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Threshold of scores, weight of overlap, leash as a share of the diagonal, misses after which a track is lost.
+#: Threshold of scores, weight of overlap, leash as a share of the diagonal, misses after which a track is lost.
 THRESHOLD, OVERLAP, LEASH, LOST = 0.3, 0.3, 0.35, 6
 SCHEMA = "rollout_id long, role string, t int, x0 double, y0 double, x1 double, y1 double, score double"
 
@@ -72,16 +72,51 @@ def link(detections: DataFrame, diagonal: float) -> DataFrame:
     return detections.groupBy("rollout_id", "role").applyInPandas(run, SCHEMA)
 
 
-def link_stream(detections: DataFrame, diagonal: float) -> DataFrame:
-    """The same over a stream whose micro-batches bring whole frames in order; box and misses are kept state."""
+def link_each(detections: DataFrame) -> DataFrame:
+    """The same where each row brings the diagonal of its rollout; rollout ids are of any type."""
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    kind = detections.schema["rollout_id"].dataType.simpleString()
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = linked_rows(Linker(float(rows["diagonal"].iloc[0])), rows)
+        return pd.DataFrame([(*key, *r) for r in out], columns=names)
+
+    return detections.groupBy("rollout_id", "role").applyInPandas(run, SCHEMA.replace("rollout_id long", f"rollout_id {kind}"))
+
+
+#: A role that brings nothing for so long is closed: its last frame is linked and its state dropped.
+IDLE = "1 hour"
+_KEPT = "x0 double, y0 double, x1 double, y1 double, misses int, held string"
+_BOX = ["t", "k", "x0", "y0", "x1", "y1", "score"]
+
+
+def link_stream(detections: DataFrame, diagonal: float, idle: str = IDLE) -> DataFrame:
+    """The same over a stream that brings a role's frames in order. A frame may be split over micro-batches: the latest
+    one is held back until a later frame comes, or nothing for `idle`. Box, misses and that one frame are all that is kept."""
+    import json
+
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    length = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+    count, unit = idle.split()
+    wait = int(count) * length[unit.rstrip("s")] * 1000
+
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = state.get if state.exists else (None, None, None, None, 0)
+        kept = state.get if state.exists else (None, None, None, None, 0, "[]")
         linker = Linker(diagonal, None if kept[0] is None else tuple(kept[:4]), int(kept[4]))
-        out = linked_rows(linker, pd.concat(list(parts)))
-        state.update((*(linker.box or (None,) * 4), linker.misses))
+        rows = pd.DataFrame(json.loads(kept[5]), columns=_BOX)
+        if state.hasTimedOut:
+            state.remove()
+            ready = rows
+        else:
+            rows = pd.concat([rows, *(p[_BOX] for p in parts)], ignore_index=True)
+            rows = rows.astype({"t": int, "k": int} | dict.fromkeys(_BOX[2:], float))
+            latest = rows["t"].max()
+            ready, held = rows[rows["t"] < latest], rows[rows["t"] == latest]
+        out = linked_rows(linker, ready) if len(ready) else []
+        if not state.hasTimedOut:
+            state.update((*(linker.box or (None,) * 4), linker.misses, held.to_json(orient="values")))
+            state.setTimeoutDuration(wait)
         yield pd.DataFrame([(*key, *r) for r in out], columns=["rollout_id", "role", "t", "x0", "y0", "x1", "y1", "score"])
 
-    kept = "x0 double, y0 double, x1 double, y1 double, misses int"
-    return detections.groupBy("rollout_id", "role").applyInPandasWithState(run, SCHEMA, kept, "append", GroupStateTimeout.NoTimeout)
+    return detections.groupBy("rollout_id", "role").applyInPandasWithState(run, SCHEMA, _KEPT, "append", GroupStateTimeout.ProcessingTimeTimeout)

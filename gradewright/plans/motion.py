@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gradewright import compiler
+from gradewright.operators import dtw
+from gradewright.operators import episode as E
 from gradewright.sources import domain as D
 
 
@@ -84,66 +89,49 @@ def normalised(t):
     return o.filter("n >= 2").select("rollout_id", "role", "t", (F.col("x") / top).alias("x"), (F.col("y") / top).alias("y"))
 
 
-def dtw(a, b):
-    """Dynamic time warping cost over (n + m) of two arrays of (x, y), as nested folds."""
-    inf = F.lit(float("inf"))
-    start = F.concat(F.array(F.lit(0.0)), F.transform(b, lambda _: inf))
+def negatives(spark, sf):
+    """Negatives of each subject's track: rollout_id (with the kind in it), t, x."""
+    t = D.tracks(spark, sf).filter(F.col("role") == D.SUBJECT).select("rollout_id", "t", "x")
+    return compiler.minted(t, "rollout_id")
 
-    def row(prev, p):
-        def cell(acc, i):
-            q = F.get(b, i - 1)
-            best = F.least(F.get(prev, i), F.get(prev, i - 1), F.element_at(acc, -1))
-            return F.array_append(acc, D.hyp(p["x"] - q["x"], p["y"] - q["y"]) + best)
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(inf), cell)
+def _with_regions(spark, sf, spec):
+    t = D.tracks(spark, sf)
+    boxes = D.regions(t).withColumn("role", F.lit(D.OBJECT))
+    return E.episodes(t, spec, ("rollout_id",), regions=boxes)
 
-    return F.element_at(F.aggregate(a, start, row), -1) / (F.size(a) + F.size(b))
 
+def fit_tolerances(spark, sf):
+    from .evaluation import SPEC
 
-def dtw_demo(spark, sf):
-    """Each subject's track against that of its rollout's effector: value exp(-d / 0.25)."""
-    n = normalised(D.tracks(spark, sf))
-    p = n.groupBy("rollout_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("t", "x", "y")))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))).alias(c) for c, r in (("a", "click"), ("b", "purchase"))])
-    p = p.filter("size(a) >= 2 and size(b) >= 2").withColumn("d", dtw(F.col("a"), F.col("b")))
-    return p.select("rollout_id", "d", F.exp(-F.col("d") / 0.25).alias("value"))
-
-
-def minted(t):
-    """Negatives as remaps of time: reversed, frozen at 35 %, truncated at 45 %, stalled on the first 15 %."""
-    n = F.count("*").over(_role()).cast("int")
-    d = t.filter("role = 'click'").withColumn("n", n)
-    at = lambda share: F.greatest(F.lit(1), F.floor(F.col("n") * share).cast("int"))
-    rev = d.select(F.lit("reversed").alias("kind"), "rollout_id", (F.col("n") - 1 - F.col("t")).alias("t"), "x")
-    cut = d.filter(F.col("t") < at(0.45)).select(F.lit("truncated").alias("kind"), "rollout_id", "t", "x")
-    src = d.select("rollout_id", F.col("t").alias("src"), "x")
-    out = rev.unionByName(cut)
-    for kind, m in (("frozen", F.least(F.col("t"), at(0.35))), ("stalled", F.col("t") % at(0.15))):
-        r = d.select("rollout_id", "t", m.alias("src")).join(src, ["rollout_id", "src"])
-        out = out.unionByName(r.select(F.lit(kind).alias("kind"), "rollout_id", "t", "x"))
-    return out
+    return compiler.tolerances(compiler.final_relations(_with_regions(spark, sf, SPEC), D.SUBJECT, D.OBJECT))
 
 
-def fit_tolerances(spark, sf):
-    """tol_rel = 1.5 * p95 of final distance over the root of the area; stationary tol = max(2 * p95 of final speed, 1)."""
-    t = D.tracks(spark, sf)
-    f = D.final_window(D.frames(t)).join(D.regions(t), "rollout_id")
-    w = Window.partitionBy("rollout_id").orderBy("t")
-    rel = D.hyp(F.col("sx") - F.col("ox"), F.col("sy") - F.col("oy")) / F.sqrt(F.when(F.col("area") > 0, F.col("area")))
-    f = f.withColumn("rel", rel).withColumn("speed", D.hyp(F.col("sx") - F.lag("sx").over(w), F.col("sy") - F.lag("sy").over(w)))
-    return f.agg((1.5 * F.percentile("rel", 0.95)).alias("tol_rel"), F.greatest(F.lit(1.0), 2 * F.percentile("speed", 0.95)).alias("tol"))
+#: The fitted tolerance that the self-test starts from, ours.
+BASE = 3.0
+
+
+def selftest(spark, sf):
+    """Rollouts with a gold are the demos (successes) and negatives; every multiple of the tolerance is judged in one pass."""
+    from .evaluation import SPEC
 
+    near, still = SPEC.success
+    spec = replace(SPEC, success=(replace(near, params={"tol_rel": BASE}), still))
+    e = _with_regions(spark, sf, spec).join(D.golds(spark, sf), "rollout_id")
+    tried = F.array(*[E.success(spec.with_tolerance(m))["value"] >= 0.5 for m in compiler.GRID])
+    return compiler.grid_counts(e.select(F.col("success").alias("is_demo"), tried.alias("passed")))
 
-GRID = (0.6, 0.8, 1.0, 1.3, 1.7, 2.2)
 
+#: Demos that every rollout is held against, ours: the first successes by id.
+DEMOS = 3
 
-def selftest(spark, sf, base=100.0):
-    """One pass: the greatest distance of a rollout is measured once and held against every multiplier of the grid."""
-    from .evaluation import measured
 
-    g = spark.createDataFrame([(i, m) for i, m in enumerate(GRID)], "ord int, mult double")
-    d = measured(spark, sf).join(D.golds(spark, sf), "rollout_id").crossJoin(F.broadcast(g))  # six rows
-    ok = F.coalesce((F.col("s_seen") == F.col("n")) & (F.col("o_seen") == F.col("n")) & (F.col("max_dist") < base * F.col("mult")), F.lit(False))
-    return d.groupBy("ord", "mult").agg(F.count_if(F.col("success") & ok).alias("demos_passed"), F.count_if(~F.col("success") & ~ok).alias("negatives_held"), F.count("*").alias("episodes"))
+def dtw_demo(spark, sf):
+    from .evaluation import SPEC
+
+    e = E.episodes(D.tracks(spark, sf), SPEC, ("rollout_id",)).select("rollout_id", F.transform(E.track(D.SUBJECT), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
+    bank = e.join(D.golds(spark, sf).filter("success"), "rollout_id", "left_semi").orderBy("rollout_id").limit(DEMOS).collect()  # as many tracks as demos
+    return dtw.demo_scores(e, [[(p.x, p.y) for p in r.points] for r in bank]).select("rollout_id", "score.status", "score.value", "score.confidence")
 
 
 def _t(fn, *a, **k):
@@ -151,10 +139,13 @@ def _t(fn, *a, **k):
 
 
 def early_late(t):
-    """Bind rate, and mean visibility of the windows [0, 5 %), [30, 50 %) and [80, 100 %], a policy and role, with the early to late drop."""
+    """Bind rate, and mean visibility of the windows [0, 5 %), [30, 50 %) and [80, 100 %], a policy and role, with the early to
+    late drop. Sums are exact decimals, so no order of summation shows in the means."""
     d = t.withColumn("u", F.col("t") / F.count("*").over(_role()))
-    u, v = F.col("u"), F.col("vis")
-    r = d.groupBy("policy", "rollout_id", "role").agg((F.count("x") / F.count("*")).alias("rate"), F.avg(F.when(u < 0.05, v)).alias("e"), F.avg(F.when((u >= 0.3) & (u < 0.5), v)).alias("m"), F.avg(F.when(u >= 0.8, v)).alias("l"))
+    exact = F.col("vis").cast("decimal(20,12)")
+    mean = lambda when: F.try_divide(F.sum(F.when(when, exact)).cast("double"), F.count_if(when).cast("double"))
+    u = F.col("u")
+    r = d.groupBy("policy", "rollout_id", "role").agg((F.count("x") / F.count("*")).alias("rate"), mean(u < 0.05).alias("e"), mean((u >= 0.3) & (u < 0.5)).alias("m"), mean(u >= 0.8).alias("l"))
     return r.groupBy("policy", "role").agg(F.avg("rate").alias("rate"), F.avg("e").alias("early"), F.avg("m").alias("mid"), F.avg("l").alias("late"), F.avg(F.col("e") - F.col("l")).alias("drop_"))
 
 
@@ -172,7 +163,7 @@ QUERIES = {
     "w15_velocity_correlation": velocity_correlation,
     "f20_normalised_track": _t(normalised),
     "f21_c6_dtw": dtw_demo,
-    "f18_r9_negatives": _t(minted),
+    "f18_r9_negatives": negatives,
     "r7_fit_tolerances": fit_tolerances,
     "r10_selftest_grid": selftest,
     "a6_worst_role": lambda s, d: D.bindings(D.tracks(s, d)).groupBy("rollout_id").agg(F.min("quality").alias("q"), F.min_by("role", F.struct("quality", "role")).alias("role")),
@@ -203,23 +194,34 @@ SELECT b.rollout_id, b.role, b.t::INT AS t, CASE WHEN p = n THEN q.x ELSE q.x +
     "w15_velocity_correlation": ("corr", """WITH v AS (SELECT rollout_id, coalesce(sx - lag(sx) OVER w, 0) AS a, coalesce(sy - lag(sy) OVER w, 0) AS b, coalesce(gx - lag(gx) OVER w, 0) AS c, coalesce(gy - lag(gy) OVER w, 0) AS d FROM frames WINDOW w AS (PARTITION BY rollout_id ORDER BY t))
 SELECT rollout_id, CASE WHEN sum(a*a + b*b) > 0 AND sum(c*c + d*d) > 0 THEN sum(a*c + b*d) / sqrt(sum(a*a + b*b) * sum(c*c + d*d)) ELSE 0 END AS corr FROM v GROUP BY 1"""),
     "f20_normalised_track": ("x y", f"WITH {_NORM} SELECT rollout_id, role, t::INT AS t, x, y FROM nm"),
-    "f21_c6_dtw": ("d value", f"""WITH RECURSIVE {_NORM}, ab AS (SELECT rollout_id, list({{'x': x, 'y': y}} ORDER BY t) FILTER (role = 'click') AS a, list({{'x': x, 'y': y}} ORDER BY t) FILTER (role = 'purchase') AS b FROM nm GROUP BY 1),
-g AS (SELECT rollout_id, len(a) AS n, len(b) AS m, i, j, sqrt(pow(a[i].x - b[j].x, 2) + pow(a[i].y - b[j].y, 2)) AS c FROM ab, range(1, 200) u(i), range(1, 200) v(j) WHERE len(a) >= 2 AND len(b) >= 2 AND i <= len(a) AND j <= len(b)),
-k AS (SELECT rollout_id, n, m, 2 AS s, [struct_pack(i := 1, v := c)] AS prev, CAST([] AS STRUCT(i BIGINT, v DOUBLE)[]) AS prev2 FROM (SELECT rollout_id, n, m, c FROM g WHERE i = 1 AND j = 1)
- UNION ALL SELECT k.rollout_id, any_value(k.n), any_value(k.m), k.s + 1, list(struct_pack(i := g.i, v := g.c + least(
+    "f21_c6_dtw": ("value confidence", f"""WITH RECURSIVE {_NORM}, bk AS (SELECT rollout_id AS demo FROM golds WHERE success AND rollout_id IN (SELECT rollout_id FROM tracks) ORDER BY 1 LIMIT {DEMOS}),
+ls AS (SELECT rollout_id, list({{'x': x, 'y': y}} ORDER BY t) AS a FROM nm WHERE role = 'click' GROUP BY 1), ab AS (SELECT p.rollout_id * 1000000 + demo AS pair, p.a, q.a AS b FROM ls p, bk JOIN ls q ON q.rollout_id = demo),
+g AS (SELECT pair, len(a) AS n, len(b) AS m, i, j, sqrt(pow(a[i].x - b[j].x, 2) + pow(a[i].y - b[j].y, 2)) AS c FROM ab, range(1, 200) u(i), range(1, 200) v(j) WHERE i <= len(a) AND j <= len(b)),
+k AS (SELECT pair, n, m, 2 AS s, [struct_pack(i := 1, v := c)] AS prev, CAST([] AS STRUCT(i BIGINT, v DOUBLE)[]) AS prev2 FROM (SELECT pair, n, m, c FROM g WHERE i = 1 AND j = 1)
+ UNION ALL SELECT k.pair, any_value(k.n), any_value(k.m), k.s + 1, list(struct_pack(i := g.i, v := g.c + least(
    coalesce(list_filter(k.prev, lambda z: z.i = g.i - 1)[1].v, 'inf'::DOUBLE), coalesce(list_filter(k.prev, lambda z: z.i = g.i)[1].v, 'inf'::DOUBLE), coalesce(list_filter(k.prev2, lambda z: z.i = g.i - 1)[1].v, 'inf'::DOUBLE)))), any_value(k.prev)
-  FROM k JOIN g ON g.rollout_id = k.rollout_id AND g.i + g.j = k.s + 1 WHERE k.s < k.n + k.m GROUP BY k.rollout_id, k.s)
-SELECT rollout_id, prev[1].v / s AS d, exp(-prev[1].v / s / 0.25) AS value FROM k WHERE s = n + m"""),
+  FROM k JOIN g ON g.pair = k.pair AND g.i + g.j = k.s + 1 WHERE k.s < k.n + k.m GROUP BY k.pair, k.s),
+ds AS (SELECT pair // 1000000 AS rollout_id, min(prev[1].v / s) AS d FROM k WHERE s = n + m GROUP BY 1), sh AS (SELECT rollout_id, count(x)::DOUBLE / count(*) AS share FROM tracks WHERE role = 'click' GROUP BY 1)
+SELECT rollout_id, CASE WHEN d IS NULL THEN 'evidence_missing' ELSE 'ok' END AS status, exp(-d / 0.25) AS value, CASE WHEN d IS NULL THEN 0 ELSE share END AS confidence FROM sh LEFT JOIN ds USING (rollout_id)"""),
     "f18_r9_negatives": ("x", """WITH d AS (SELECT rollout_id, t, x, count(*) OVER (PARTITION BY rollout_id) AS n FROM tracks WHERE role = 'click'),
-m AS (SELECT 'reversed' AS kind, rollout_id, t, n - 1 - t AS src FROM d UNION ALL SELECT 'frozen', rollout_id, t, least(t, greatest(1, floor(n * 0.35::DOUBLE)::BIGINT)) FROM d UNION ALL SELECT 'stalled', rollout_id, t, t % greatest(1, floor(n * 0.15::DOUBLE)::BIGINT) FROM d UNION ALL SELECT 'truncated', rollout_id, t, t FROM d WHERE t < greatest(1, floor(n * 0.45::DOUBLE)))
-SELECT m.kind, m.rollout_id, m.t::INT AS t, d.x FROM m JOIN d ON d.rollout_id = m.rollout_id AND d.t = m.src"""),
-    "r7_fit_tolerances": ("tol_rel tol", """WITH f AS (SELECT sqrt(pow(sx - ox, 2) + pow(sy - oy, 2)) / sqrt(nullif(area, 0)) AS rel, sqrt(pow(sx - lag(sx) OVER w, 2) + pow(sy - lag(sy) OVER w, 2)) AS sp FROM fin JOIN regions USING (rollout_id) WINDOW w AS (PARTITION BY rollout_id ORDER BY t))
-SELECT 1.5 * quantile_cont(rel, 0.95::DOUBLE) AS tol_rel, greatest(1.0::DOUBLE, 2 * quantile_cont(sp, 0.95::DOUBLE)) AS tol FROM f"""),
-    "r10_selftest_grid": ("mult", f"""WITH q AS (SELECT rollout_id, count(*) = count(sx) AND count(*) = count(ox) AS whole, max(sqrt(pow(sx - ox, 2) + pow(sy - oy, 2))) AS md FROM fin GROUP BY 1), g(ord, mult) AS (VALUES {', '.join(f'({i}, {m}::DOUBLE)' for i, m in enumerate(GRID))}),
-e AS (SELECT ord, mult, success, coalesce(whole AND md < 100.0 * mult, false) AS ok FROM q JOIN golds USING (rollout_id), g) SELECT ord, mult, count(*) FILTER (success AND ok) AS demos_passed, count(*) FILTER (NOT success AND NOT ok) AS negatives_held, count(*) AS episodes FROM e GROUP BY ALL"""),
+m AS (SELECT 'reversed' AS kind, rollout_id, t, n - 1 - t AS src, n FROM d UNION ALL SELECT 'frozen', rollout_id, t, least(t, greatest(2, floor(n * 0.35::DOUBLE)::BIGINT)), n FROM d UNION ALL SELECT 'truncated', rollout_id, t, least(t, greatest(2, floor(n * 0.45::DOUBLE)::BIGINT)), n FROM d
+ UNION ALL SELECT 'stalled', rollout_id, t, t % greatest(2, floor(n * 0.15::DOUBLE)::BIGINT), n FROM d)
+SELECT m.kind, m.rollout_id || '#neg_' || m.kind AS rollout_id, m.t::INT AS t, d.x FROM m JOIN d ON d.rollout_id = m.rollout_id AND d.t = least(m.src, m.n - 1)"""),
+    "r7_fit_tolerances": ("tol_rel tol", """WITH n AS (SELECT rollout_id, max(t) + 1 AS n FROM tracks GROUP BY 1),
+s AS (SELECT rollout_id, t, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM tracks JOIN n USING (rollout_id) WHERE role = 'click' AND x IS NOT NULL AND t >= floor(n * 0.85::DOUBLE) WINDOW w AS (PARTITION BY rollout_id ORDER BY t)),
+e AS (SELECT rollout_id, avg(x) AS cx, avg(y) AS cy, max(sqrt(pow(x - px, 2) + pow(y - py, 2))) AS speed FROM s GROUP BY 1), o AS (SELECT rollout_id, avg(x) AS ox, avg(y) AS oy FROM tracks WHERE role = 'view' AND x IS NOT NULL GROUP BY 1),
+f AS (SELECT sqrt(pow(cx - ox, 2) + pow(cy - oy, 2)) / sqrt(greatest(coalesce(area, 1), 1)) AS rel, speed FROM e JOIN o USING (rollout_id) LEFT JOIN regions USING (rollout_id))
+SELECT 1.5 * quantile_cont(rel, 0.95::DOUBLE) AS tol_rel, coalesce(greatest(1.0::DOUBLE, 2 * quantile_cont(speed, 0.95::DOUBLE)), 1.5) AS tol FROM f"""),
+    "r10_selftest_grid": ("factor", f"""WITH q AS (SELECT rollout_id, count(*) = count(sx) AND count(*) = count(ox) AS whole, max(sqrt(pow(sx - ox, 2) + pow(sy - oy, 2))) AS md, max(st) AS ms FROM (SELECT *, sqrt(pow(sx - lag(sx) OVER w, 2) + pow(sy - lag(sy) OVER w, 2)) AS st FROM fin WINDOW w AS (PARTITION BY rollout_id ORDER BY t)) GROUP BY 1),
+g(place, factor) AS (VALUES {', '.join(f'({i}, {m}::DOUBLE)' for i, m in enumerate(compiler.GRID))}),
+e AS (SELECT place, factor, success, coalesce(whole AND md < {BASE} * factor * sqrt(nullif(area, 0)) AND coalesce(ms, 0) <= 110, false) AS ok FROM q JOIN golds USING (rollout_id) LEFT JOIN regions USING (rollout_id), g),
+c AS (SELECT place, factor, count(*) FILTER (success AND ok) AS demos_passed, count(*) FILTER (NOT success AND NOT ok) AS negatives_failed, count(*) FILTER (success) AS demos, count(*) FILTER (NOT success) AS negatives FROM e GROUP BY ALL),
+b AS (SELECT coalesce(min(place) FILTER (demos_passed = demos AND negatives_failed = negatives), arg_max(place, (demos_passed, negatives_failed, -place))) AS best, bool_or(demos_passed = demos AND negatives_failed = negatives) AS accepted FROM c)
+SELECT place::BIGINT AS place, factor, demos_passed, negatives_failed, demos, negatives, place = best AS best, accepted FROM c, b"""),
     "a6_worst_role": ("q", "SELECT rollout_id, min(quality) AS q, arg_min(role, (quality, role)) AS role FROM bindings GROUP BY 1"),
     "a10_bind_rate": ("quality", "SELECT rollout_id, role, bound, quality, required FROM bindings"),
-    "a12_policy_role_windows": ("rate early mid late drop_", """WITH r AS (SELECT policy, rollout_id, role, count(x)::DOUBLE / count(*) AS rate, avg(vis) FILTER (u < 0.05) AS e, avg(vis) FILTER (u >= 0.3 AND u < 0.5) AS m, avg(vis) FILTER (u >= 0.8) AS l FROM (SELECT *, t::DOUBLE / count(*) OVER (PARTITION BY rollout_id, role) AS u FROM tracks) GROUP BY ALL)
+    "a12_policy_role_windows": ("rate early mid late drop_", """WITH r AS (SELECT policy, rollout_id, role, count(x)::DOUBLE / count(*) AS rate, sum(d) FILTER (u < 0.05)::DOUBLE / nullif(count(*) FILTER (u < 0.05), 0) AS e, sum(d) FILTER (u >= 0.3 AND u < 0.5)::DOUBLE / nullif(count(*) FILTER (u >= 0.3 AND u < 0.5), 0) AS m,
+  sum(d) FILTER (u >= 0.8)::DOUBLE / nullif(count(*) FILTER (u >= 0.8), 0) AS l FROM (SELECT *, vis::DECIMAL(20, 12) AS d, t::DOUBLE / count(*) OVER (PARTITION BY rollout_id, role) AS u FROM tracks) GROUP BY ALL)
 SELECT policy, role, avg(rate) AS rate, avg(e) AS early, avg(m) AS mid, avg(l) AS late, avg(e - l) AS drop_ FROM r GROUP BY ALL"""),
     "s9_role_data": ("", "SELECT b.rollout_id, b.role, b.bound, CASE WHEN b.role = 'view' THEN area END AS area FROM bindings b LEFT JOIN regions USING (rollout_id)"),
     "p17_box_iou": ("iou", "SELECT rollout_id, t::INT AS t, i / (200 - i) AS iou FROM (SELECT rollout_id, t, greatest(CASE WHEN sx IS NULL OR ox IS NULL THEN 0 END, 10 - abs(sx - ox), 0) * greatest(10 - abs(sy - oy), 0) AS i FROM frames)"),

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import evaluation, frames, motion, reporting, statistics, tables
+from . import evaluation, frames, motion, reporting, statistics, tables, worlds
 
 TIE = 1e-9
-MODULES = (evaluation, motion, tables, statistics, reporting, frames)
+MODULES = (evaluation, motion, tables, statistics, reporting, frames, worlds)
 
 
 def _rounded(fn):

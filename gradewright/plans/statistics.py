@@ -84,8 +84,12 @@ def calibrations(spark, sf):
 
 
 def ppi(spark, sf, alpha=ALPHA):
-    """Prediction-powered pass rate a policy: labelled and unlabelled rollouts are disjoint; under two of either is skipped."""
-    s = success(spark, sf).filter("status = 'ok'").join(D.golds(spark, sf), "rollout_id", "left")
+    return ppi_of(success(spark, sf).filter("status = 'ok'").join(D.golds(spark, sf), "rollout_id", "left"), alpha)
+
+
+def ppi_of(s, alpha=ALPHA):
+    """s (policy, value, success or null) -> the prediction-powered pass rate a policy: labelled and unlabelled rollouts are
+    disjoint, and under two of either is skipped."""
     y, f = F.col("success").cast("int").cast("double"), F.col("value")
     s = s.withColumn("y", y).withColumn("fl", F.when(y.isNotNull(), f)).withColumn("fu", F.when(y.isNull(), f))
     g = s.groupBy("policy").agg(F.count("y").alias("n"), F.count("fu").alias("m"), F.avg("y").alias("ybar"), F.avg("fl").alias("fbar"), F.avg("fu").alias("ubar"),

@@ -34,7 +34,9 @@ def merged(left: Column, right: Column) -> Column:
 def rollouts(spark: SparkSession, root: str, upgrades: Upgrades | None = None) -> DataFrame:
     """Every rollout.json below root, upgraded, with its folder in `dir` and in meta under _dir. Sort by dir where order matters."""
     d = spark.read.schema(ROLLOUT).option("recursiveFileLookup", True).option("pathGlobFilter", "rollout.json").json(root, multiLine=True)
-    d = d.withColumn("dir", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
+    # the path comes percent-encoded, but not where files are read as bytes
+    at = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    d = d.withColumn("dir", F.regexp_replace(at, "/[^/]*$", ""))
     d = d.withColumn("meta", merged(F.col("meta"), F.create_map(F.lit("_dir"), F.col("dir"))))
     d = d.withColumns({"fps": F.coalesce("fps", F.lit(10.0)), "n_frames": F.coalesce("n_frames", F.lit(0)), "policy": F.coalesce("policy", F.lit("")), "source": F.coalesce("source", F.lit(""))})
     return (upgrades or Upgrades()).apply("rollout", d)
@@ -65,17 +67,85 @@ def frames(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, FRAME)
 
 
+def frames_or_errors(spark: SparkSession, root: str) -> DataFrame:
+    """The same with a column `error`: an archive that can't be read is one row with its error and no pixels."""
+    schema = f"{FRAME}, error string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                try:
+                    with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as archive:
+                        data = archive["frames"]
+                    if data.ndim != 4 or data.shape[-1] != 3 or data.dtype != np.uint8:
+                        raise ValueError(f"frames are bytes of shape (T, H, W, 3), not {data.dtype} of {data.shape}")
+                    rows = [(path, t, *f.shape[:2], f.tobytes(), None) for t, f in enumerate(data)]
+                except Exception as error:  # whatever is wrong with one archive leaves the others alone
+                    rows = [(path, None, None, None, None, f"{type(error).__name__}: {error}")]
+                for at in range(0, len(rows), 64):
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 64]), kinds)], names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "frames.npz").option("recursiveFileLookup", True).load(root)
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def actions(spark: SparkSession, root: str) -> DataFrame:
+    """path, t, ax, ay of every actions.npz below root (array `actions`, T x A numbers): its first two dimensions."""
+    schema = "path string, t int, ax double, ay double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as archive:
+                    a = archive["actions"].astype(float)
+                yield pa.record_batch([pa.array([path] * len(a)), pa.array(range(len(a)), pa.int32()), pa.array(a[:, 0]), pa.array(a[:, 1])], ["path", "t", "ax", "ay"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "actions.npz").option("recursiveFileLookup", True).load(root)
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def save_episode(folder: str, name: str, frames: np.ndarray, actions: np.ndarray | None = None, fps: float = 10.0, policy: str = "", source: str = "", meta: dict | None = None) -> dict:
+    """One episode as files that `rollouts`, `frames` and `actions` read: its record. For a driver's own disk, not for many."""
+    import hashlib
+    from pathlib import Path
+
+    if frames.ndim != 4 or frames.shape[-1] != 3 or frames.dtype != np.uint8:
+        raise SpecError(f"frames are bytes of shape (T, H, W, 3), not {frames.dtype} of {frames.shape}")
+    at = Path(folder)
+    at.mkdir(parents=True, exist_ok=True)
+    np.savez_compressed(at / "frames.npz", frames=frames)
+    artifact = lambda f: {"path": f, "sha256": hashlib.sha256((at / f).read_bytes()).hexdigest(), "kind": f}
+    record = {"schema_version": 1, "id": name, "frames": artifact("frames.npz"), "fps": fps, "n_frames": len(frames), "policy": policy, "source": source, "actions": None, "meta": meta or {}}
+    if actions is not None:
+        np.savez_compressed(at / "actions.npz", actions=actions.astype(np.float32))
+        record["actions"] = artifact("actions.npz")
+    (at / "rollout.json").write_text(json.dumps(record))
+    return record
+
+
+def probed_rate(fps: float | None) -> float:
+    """A decoder's frame rate, or 10 where it is absent, not finite or not above zero."""
+    return float(fps) if fps is not None and np.isfinite(fps) and fps > 0 else 10.0
+
+
+def nearest(image: np.ndarray, side: int) -> np.ndarray:
+    """An image with its longer side at `side`, by the nearest earlier pixel."""
+    scale = side / max(image.shape[:2])
+    y, x = (np.minimum((np.arange(max(1, round(n * scale))) / scale).astype(int), n - 1) for n in image.shape[:2])
+    return image[np.ix_(y, x)]
+
+
 def resize(frames: DataFrame, side: int) -> DataFrame:
-    """Frames (FRAME) with the longer side at `side`, by the nearest earlier pixel."""
+    """Frames (FRAME) with the longer side at `side`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.to_pylist()
             for r in rows:
-                scale = side / max(r["h"], r["w"])
-                y, x = (np.minimum((np.arange(max(1, round(n * scale))) / scale).astype(int), n - 1) for n in (r["h"], r["w"]))
-                image = np.frombuffer(r["pixels"], np.uint8).reshape(r["h"], r["w"], 3)[np.ix_(y, x)]
-                r |= {"h": len(y), "w": len(x), "pixels": image.tobytes()}
+                image = nearest(np.frombuffer(r["pixels"], np.uint8).reshape(r["h"], r["w"], 3), side)
+                r |= {"h": image.shape[0], "w": image.shape[1], "pixels": image.tobytes()}
             yield pa.RecordBatch.from_pylist(rows, schema=b.schema)
 
     return frames.select("path", "t", "h", "w", "pixels").mapInArrow(run, FRAME)
@@ -83,9 +153,16 @@ def resize(frames: DataFrame, side: int) -> DataFrame:
 
 def pixel_rows(frames: DataFrame) -> DataFrame:
     """path, t, x, y, r, g, b of every pixel, for the operators on pixel rows."""
-    at = F.explode(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1)).alias("i")
-    byte = lambda k: F.conv(F.hex(F.substring(F.col("pixels"), 3 * F.col("i") + k, F.lit(1))), 16, 10).cast("int")
-    return frames.select("path", "t", "w", "pixels", at).select("path", "t", (F.col("i") % F.col("w")).alias("x"), F.expr("cast(i div w as int)").alias("y"), byte(1).alias("r"), byte(2).alias("g"), byte(3).alias("b"))
+    schema = "path string, t int, x int, y int, r int, g int, b int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, t, h, w, pixels in zip(*(c.to_pylist() for c in batch.columns)):
+                rgb = np.frombuffer(pixels, np.uint8).reshape(-1, 3).astype(np.int32)
+                y, x = (a.ravel().astype(np.int32) for a in np.mgrid[:h, :w])
+                yield pa.record_batch([pa.array([path] * len(x)), pa.array(np.full(len(x), t, np.int32)), *map(pa.array, (x, y, rgb[:, 0], rgb[:, 1], rgb[:, 2]))], [c.split()[0] for c in schema.split(", ")])
+
+    return frames.select("path", "t", "h", "w", "pixels").mapInArrow(run, schema)
 
 
 def write_frames(frames: DataFrame, path: str) -> None:
@@ -109,9 +186,12 @@ def spec_text(found: dict) -> str:
     return yaml.safe_dump(found, sort_keys=False, allow_unicode=True)
 
 
-def cards(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Every *.json of the folder, one card a file."""
-    return spark.read.schema(schema).option("pathGlobFilter", "*.json").json(folder, multiLine=True)
+def cards(spark: SparkSession, folder: str, schema: str, upgrades: Upgrades | None = None) -> DataFrame:
+    """Every *.json of the folder, one card a file, upgraded; `file` names where each came from. Sort by it where order matters."""
+    found = spark.read.schema(schema).option("pathGlobFilter", "*.json").json(folder, multiLine=True).withColumn("file", F.col("_metadata.file_name"))
+    if "schema_version" not in found.columns:
+        return found
+    return (upgrades or Upgrades()).apply("grade_card", found)
 
 
 def golds(spark: SparkSession, path: str) -> DataFrame:
@@ -141,7 +221,7 @@ def escaped(c: Column) -> Column:
     return c
 
 
-def sparkline(v: Column, width: int = 140, height: int = 28) -> Column:
+def sparkline(v: Column, width: int = 160, height: int = 32) -> Column:
     """An array as an inline SVG line between its least and greatest value; empty below two points."""
     low, n = F.array_min(v), F.size(v)
     span = F.when(F.array_max(v) > low, F.array_max(v) - low).otherwise(1.0)

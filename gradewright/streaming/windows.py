@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 
 def _aggregates(keyed) -> DataFrame:
     return keyed.agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
 
 
+def timed(df: DataFrame) -> DataFrame:
+    """df with `ts` as a timestamp: a watermark takes no timestamp without a zone (it is read in the session's zone)."""
+    return df.withColumn("ts", F.col("ts").cast("timestamp")) if isinstance(df.schema["ts"].dataType, TimestampNTZType) else df
+
+
 def _late(df: DataFrame, delay: str) -> DataFrame:
-    return df.withWatermark("ts", delay) if df.isStreaming else df
+    return timed(df).withWatermark("ts", delay) if df.isStreaming else df
 
 
 def _flat(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,4 +40,4 @@ def sessions(df: DataFrame, keys: list[str], gap: str, delay: str = "10 minutes"
 
 def once_by_key(df: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
     """Rows whose key was not seen before within the watermark: a re-run of the same work adds nothing."""
-    return df.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
+    return timed(df).withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)

@@ -112,7 +112,7 @@ def test_components():
 def test_report_rows(spark):
     d = spark.createDataFrame([(1, "<p>", "pass", "r" * 300, [0.0, 1.0]), (2, None, None, None, [1.0])], "rollout_id int, policy string, verdict string, reason string, progress array<double>")
     a, b = [r[0] for r in files.report_rows(d).collect()]
-    assert "&lt;p&gt;" in a and "0.0,26.0 140.0,2.0" in a and "r" * 240 + "</td>" in a and "svg" not in b
+    assert "&lt;p&gt;" in a and "0.0,30.0 160.0,2.0" in a and "r" * 240 + "</td>" in a and "svg" not in b
 
 
 def _boxes(rows):
@@ -144,9 +144,31 @@ def _drain(out, name, tmp_path):
 def test_linking_stream_is_the_batch(spark, tmp_path):
     rows = [(1, "a", t, k, float(t * 3 + 400 * k), 0.0, float(t * 3 + 400 * k + 10), 10.0, 0.5 + 0.1 * k) for t in range(8) for k in range(2)]
     d = spark.createDataFrame(rows, "rollout_id long, role string, t int, k int, x0 double, y0 double, x1 double, y1 double, score double")
-    s = _stream(spark, d, str(tmp_path / "in"), ["t < 4", "t >= 4"])
+    # frame 4 is split over two micro-batches; the last frame waits for a later one
+    s = _stream(spark, d, str(tmp_path / "in"), ["t < 4 or (t = 4 and k = 0)", "t > 4 or (t = 4 and k = 1)"])
     got = sorted(map(tuple, _drain(linking.link_stream(s, 100.0), "linked", tmp_path).collect()))
-    assert got == sorted(map(tuple, linking.link(d, 100.0).collect())) and len(got) == 8
+    want = sorted(map(tuple, linking.link(d, 100.0).collect()))
+    assert len(want) == 8 and got == [r for r in want if r[2] < 7]
+
+
+def test_windows_over_the_events_table_as_a_stream(spark, tmp_path):
+    d = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "ts", "value")
+    assert dict(d.dtypes)["ts"] == "timestamp_ntz"
+    s = _stream(spark, d, str(tmp_path / "in"), ["true"])
+    for name, fn in (("e1", lambda x: windows.tumbling(x, ["user_id"], "8 hours")), ("e2", lambda x: windows.sliding(x, ["user_id"], "5 hours", "2 hours")), ("e3", lambda x: windows.sessions(x, ["user_id"], "6 hours"))):
+        assert _drain(fn(s), name, tmp_path).count() > 50
+    assert _drain(windows.once_by_key(s, ["user_id"], "60 days"), "e4", tmp_path).count() == d.select("user_id").distinct().count()
+
+
+def test_saved_record_is_read_again(spark, tmp_path):
+    """A record whose meta holds the folder of an earlier load."""
+    frames = np.zeros((5, 4, 6, 3), np.uint8)
+    files.save_episode(str(tmp_path / "e"), "e", frames, np.ones((5, 3)), meta={"_dir": "/old", "k": "v"})
+    r = files.rollouts(spark, str(tmp_path)).first()
+    assert r.meta["_dir"].endswith("/e") and r.meta["k"] == "v" and r.n_frames == 5 and r.actions.path == "actions.npz"
+    assert files.actions(spark, str(tmp_path)).agg(F.sum("ax"), F.count("*")).first()[:] == (5.0, 5)
+    with pytest.raises(SpecError):
+        files.save_episode(str(tmp_path / "x"), "x", np.zeros((5, 4, 6)))
 
 
 def test_streamed_windows_are_the_batch(spark, tmp_path):
