@@ -275,18 +275,6 @@ def test_empty(empty):
         assert got.count() == 0
 
 
-def test_stages(spark, docs, tmp_path):
-    import corpus_pipeline
-
-    d = written(spark, docs, tmp_path)
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, d, "")
-        assert out.columns == docs.columns, name
-        assert out.count() <= docs.count()
-    once = corpus_pipeline.exact(spark, d, "")
-    assert once.count() == len({t.translate(LOWER) for _, t in local(docs)})
-
-
 def covered_words(rows):
     """Words of each document of (doc_id, text) in a passage of 50 words that another document has too, by brute force."""
     docs = [(d, [x.translate(LOWER) for x in WORD.findall(t)]) for d, t in rows]
