@@ -11,8 +11,10 @@ struct<x0, y0, x1, y1, area>> and, where given, actions array<struct<ax, ay>>.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,24 @@ CHUNK, LEAST_COMMAND, LEAST_SHIFT, LEAST_CHUNKS = 8, 1e-3, 1e-6, 3
 REGION = "struct<x0:double,y0:double,x1:double,y1:double,area:double>"
 
 
+_built: dict[tuple, Column] = {}
+
+
+def compiled(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the Columns that a function makes of a specification: an expression is some thousand calls to the JVM, and the
+    same one serves every plan of the session. Arguments are specifications, numbers and texts."""
+
+    @wraps(build)
+    def kept(*args, **kwargs) -> Column:
+        plain = [a.content_hash() if isinstance(a, TaskSpec) else a for a in args]
+        key = (build.__name__, id(SparkContext._gateway), repr(plain), repr(sorted(kwargs.items())))
+        if key not in _built:
+            _built[key] = build(*args, **kwargs)
+        return _built[key]
+
+    return kept
+
+
 def episodes(tracks: DataFrame, spec: TaskSpec, keys: Sequence[str] = ("rollout_id", "policy"), bindings: DataFrame | None = None,
              regions: DataFrame | None = None, actions: DataFrame | None = None) -> DataFrame:
     """tracks (keys, role, t, x, y, vis) -> a row a rollout.
@@ -163,6 +183,7 @@ def score(channel: str, ok: Column, value: Column, confidence: Column, reason: C
                     F.when(ok, confidence).otherwise(0.0).alias("confidence"), F.coalesce(reason, F.lit("")).alias("reason"), (F.when(ok, details) if details is not None else none).cast(DETAILS).alias("details"))
 
 
+@compiled
 def success(spec: TaskSpec) -> Column:
     """success.predicates: the conjunction over the last frames of the longest track. A missing conjunct beats a failed one."""
     k = max(1, spec.success_sustain_frames)
@@ -185,6 +206,7 @@ def success(spec: TaskSpec) -> Column:
     return let(conjunction(spec.success, start, F.lit(k)), judged)
 
 
+@compiled
 def goal_distance(subject: str, target: str) -> Column:
     """progress.goal_distance: the share of the first distance to the target's mean place that is gone at the last observed frame."""
     name = "progress.goal_distance"
@@ -220,6 +242,7 @@ def goal_curve(subject: str, target: str) -> Column:
     return let(F.struct(there(track(subject)).alias("s"), there(track(target)).alias("o")), curve)
 
 
+@compiled
 def phase_coverage(spec: TaskSpec, width: int = PHASE_WIDTH, stride: int = PHASE_STRIDE) -> Column:
     """phase.ordered_coverage: the share of phases that are met in order.
 
@@ -269,6 +292,7 @@ def chain_probability(q: Column, k: int) -> Column:
     return F.get(F.aggregate(F.transform(q, lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))), start, step), F.lit(k))
 
 
+@compiled
 def sustained(spec: TaskSpec, stride: int = 1, tau: float = 1.0) -> Column:
     """success.tl_dtmc: the chance that the conjunction was sustained at some time, from margins of two-frame windows."""
     name = "success.tl_dtmc"
@@ -308,6 +332,7 @@ def _names(bindings: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(bindings, lambda b: b["role"])), ", ")
 
 
+@compiled
 def binding_health() -> Column:
     required = F.filter("bindings", lambda b: b["required"])
 
@@ -325,6 +350,7 @@ def _bound(of) -> Column:
     return F.filter(each, lambda x: x.isNotNull())
 
 
+@compiled
 def permanence() -> Column:
     """The least running mean of a bound role's visibility over its early level: of the worst role, 1 without decline."""
 
@@ -353,6 +379,7 @@ def permanence() -> Column:
     return let(_bound(ratio), judged)
 
 
+@compiled
 def motion_sanity() -> Column:
     """Twice the share of frames in which any role moves, 1 at most."""
     paths = F.map_values("tracks")
@@ -481,6 +508,16 @@ def fold(channels: Column, threshold: float = 0.5) -> Column:
     return let(F.filter(channels, lambda c: c["eligible"]), judged)
 
 
+@compiled
+def _gate_of_signals(policy: Sequence[tuple]) -> Column:
+    return gate(F.col("signals"), policy)
+
+
+@compiled
+def _fold_of_channels(threshold: float) -> Column:
+    return fold(F.col("channels"), threshold)
+
+
 def first_channel(channels: Column, name: str) -> Column:
     """The first channel of that name on a card, or null."""
     return F.get(F.filter(channels, lambda c: c["channel"] == name), F.lit(0))
@@ -491,12 +528,12 @@ def cards(episodes: DataFrame, spec: TaskSpec, signals: Sequence[Column], channe
     """Grade cards: keys, spec_name, spec_version, spec_hash, signals, gate, channels, success. The channels of an
     ungradeable rollout are skipped, and it is an abstention for the gate's reasons."""
     d = episodes.withColumn("signals", F.array(*signals))
-    d = d.withColumn("gate", gate(F.col("signals"), policy)).withColumn("channels", F.array(*channels))
+    d = d.withColumn("gate", _gate_of_signals(policy)).withColumn("channels", F.array(*channels))
     stop = F.col("gate.verdict") == "ungradeable"
     skipped = F.transform("channels", lambda c: F.struct(c["channel"].alias("channel"), c["eligible"].alias("eligible"), F.lit("skipped").alias("status"), F.lit(None).cast("double").alias("value"),
                                                          F.lit(0.0).alias("confidence"), F.lit("the gate holds the rollout ungradeable").alias("reason"), F.lit(None).cast(DETAILS).alias("details")))
     texts = F.expr("cast(array() as array<string>)")
     held = F.struct(F.lit("abstain").alias("verdict"), texts.alias("satisfied"), texts.alias("violated"), F.transform("gate.reasons", lambda r: F.concat(F.lit("gate: "), r)).alias("reasons"))
     d = d.withColumn("channels", F.when(stop, skipped).otherwise(F.col("channels")))
-    d = d.withColumn("success", F.when(stop, held).otherwise(fold(F.col("channels"), threshold)))
+    d = d.withColumn("success", F.when(stop, held).otherwise(_fold_of_channels(threshold)))
     return d.select(*keys, F.lit(spec.name).alias("spec_name"), F.lit(spec.version).alias("spec_version"), F.lit(spec.content_hash()).alias("spec_hash"), "signals", "gate", "channels", "success")

@@ -78,9 +78,9 @@ def calibrations(spark, sf):
     """Labellings of the events that end in a threshold, a refusal, an admission of nothing, and a refusal for too few examples."""
     e = D.table(spark, sf, "events").select("value", "event_type", "event_id")
     e = e.crossJoin(F.broadcast(e.agg(F.max("value").alias("m"))))  # one row
-    case = lambda name, broken: F.struct(F.lit(name).alias("case"), broken.alias("broken"))
+    case = lambda name, broken: F.struct(F.lit(name).alias("labelling"), broken.alias("broken"))
     each = F.array(case("errors", F.col("event_type") == "error"), case("none", F.lit(False)), case("top", F.col("value") >= 0.5 * F.col("m")), case("few", F.col("event_id") == 1))
-    return conformal(e.select("value", F.explode(each).alias("l")).select("value", "l.case", "l.broken"), ALPHA, ["case"])
+    return conformal(e.select("value", F.explode(each).alias("l")).select("value", "l.labelling", "l.broken"), ALPHA, ["labelling"])
 
 
 def ppi(spark, sf, alpha=ALPHA):
@@ -188,18 +188,18 @@ g AS (SELECT policy, count(y) AS n, count(fu) AS m, avg(y) AS yb, avg(fl) AS fb,
 l AS (SELECT *, CASE WHEN n < 4 THEN 1 WHEN vf <= 1e-12 THEN 0 ELSE least(1, greatest(0, cov / vf)) END AS lam FROM g)
 SELECT policy, n, m, CASE WHEN n >= 2 AND m >= 2 THEN 'ok' ELSE 'skipped' END AS status, CASE WHEN n >= 2 AND m >= 2 THEN lam * ub + yb - lam * fb END AS theta,
   CASE WHEN n >= 2 AND m >= 2 THEN sqrt(greatest(0, lam * lam * vu / m + (vy - 2 * lam * cov + lam * lam * vf) / n)) * {Z!r} END AS half_width FROM l"""
-_CAL = f"""d AS (SELECT "case", value, count(*) FILTER (broken) AS b, count(*) FILTER (NOT broken) AS c FROM lab GROUP BY ALL),
-k AS (SELECT "case", value, sum(b) OVER w AS above, sum(c) OVER w AS kept, sum(b) OVER p AS n, sum(c) OVER p AS nc FROM d WINDOW w AS (PARTITION BY "case" ORDER BY value DESC), p AS (PARTITION BY "case")),
-z AS (SELECT "case", max(n) AS n, max(nc) AS nc, max(value) AS top, min(value) FILTER (n > 0 AND (above + 1)::DOUBLE / (n + 1) <= {ALPHA}) AS lam, max(above) FILTER (n > 0 AND (above + 1)::DOUBLE / (n + 1) <= {ALPHA}) AS ad, max(kept) FILTER (n > 0 AND (above + 1)::DOUBLE / (n + 1) <= {ALPHA}) AS kp FROM k GROUP BY 1),
+_CAL = f"""d AS (SELECT labelling, value, count(*) FILTER (broken) AS b, count(*) FILTER (NOT broken) AS c FROM lab GROUP BY ALL),
+k AS (SELECT labelling, value, sum(b) OVER w AS above, sum(c) OVER w AS kept, sum(b) OVER p AS n, sum(c) OVER p AS nc FROM d WINDOW w AS (PARTITION BY labelling ORDER BY value DESC), p AS (PARTITION BY labelling)),
+z AS (SELECT labelling, max(n) AS n, max(nc) AS nc, max(value) AS top, min(value) FILTER (n > 0 AND (above + 1)::DOUBLE / (n + 1) <= {ALPHA}) AS lam, max(above) FILTER (n > 0 AND (above + 1)::DOUBLE / (n + 1) <= {ALPHA}) AS ad, max(kept) FILTER (n > 0 AND (above + 1)::DOUBLE / (n + 1) <= {ALPHA}) AS kp FROM k GROUP BY 1),
 y AS (SELECT *, CASE WHEN n = 0 THEN '{NO_BROKEN}' WHEN 1.0 / (n + 1) > {ALPHA} THEN '{UNATTAINABLE}' WHEN lam IS NULL THEN '{NOTHING}' ELSE 'ok' END AS status FROM z),
-cal AS (SELECT "case", status, CASE status WHEN 'ok' THEN lam WHEN '{NOTHING}' THEN nextafter(top, 'inf'::DOUBLE) END AS threshold, CASE status WHEN 'ok' THEN ad / n::DOUBLE WHEN '{NOTHING}' THEN 0 END AS risk,
+cal AS (SELECT labelling, status, CASE status WHEN 'ok' THEN lam WHEN '{NOTHING}' THEN nextafter(top, 'inf'::DOUBLE) END AS threshold, CASE status WHEN 'ok' THEN ad / n::DOUBLE WHEN '{NOTHING}' THEN 0 END AS risk,
   CASE status WHEN 'ok' THEN (ad + 1) / (n + 1)::DOUBLE WHEN '{NOTHING}' THEN 1 / (n + 1)::DOUBLE END AS bound, CASE status WHEN 'ok' THEN kp / nullif(nc, 0)::DOUBLE WHEN '{NOTHING}' THEN 0 END AS retention, n::BIGINT AS n_broken, nc::BIGINT AS n_clean FROM y)"""
 
 ORACLES = {
     "a4_mnar_bounds": ("low high", f"{_V} SELECT * FROM b"),
     "st3_j6_mnar_pairs": ("", f"{_V} SELECT x.policy AS a, y.policy AS b, CASE WHEN x.low > y.high THEN 'first' WHEN y.low > x.high THEN 'second' ELSE 'undetermined' END AS relation FROM b x JOIN b y ON x.policy < y.policy"),
-    "st1_conformal": ("threshold risk bound retention", f"""WITH lab AS (SELECT 'all' AS "case", value, broken FROM signal_cal), {_CAL} SELECT * EXCLUDE ("case") FROM cal"""),
-    "st1_f15_refusals": ("threshold risk bound retention", f"""WITH e AS (SELECT value, event_type, event_id, max(value) OVER () AS m FROM events), lab AS (SELECT 'errors' AS "case", value, event_type = 'error' AS broken FROM e UNION ALL SELECT 'none', value, false FROM e
+    "st1_conformal": ("threshold risk bound retention", f"""WITH lab AS (SELECT 'all' AS labelling, value, broken FROM signal_cal), {_CAL} SELECT * EXCLUDE (labelling) FROM cal"""),
+    "st1_f15_refusals": ("threshold risk bound retention", f"""WITH e AS (SELECT value, event_type, event_id, max(value) OVER () AS m FROM events), lab AS (SELECT 'errors' AS labelling, value, event_type = 'error' AS broken FROM e UNION ALL SELECT 'none', value, false FROM e
  UNION ALL SELECT 'top', value, value >= 0.5 * m FROM e UNION ALL SELECT 'few', value, event_id = 1 FROM e), {_CAL} SELECT * FROM cal"""),
     "a8_st6_auroc": ("auroc", f"SELECT * FROM {_AUC.format('signal_cal')}"),
     "st2_a5_ppi": ("theta half_width", _PPI),
