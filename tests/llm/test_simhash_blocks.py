@@ -6,7 +6,7 @@ import pytest
 from gradewright.llm import simhash
 
 
-@pytest.mark.parametrize("limit", [3, 40, 10_000])
+@pytest.mark.parametrize("limit", [3, 10_000])
 def test_chunks(spark, limit):
     rng = np.random.default_rng(5)
     seeds = rng.integers(0, 2**64, 3, dtype=np.uint64)
