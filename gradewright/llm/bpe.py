@@ -2,7 +2,7 @@
 
 A task splits its texts into pieces and keeps the pieces it has not met. An inverted index maps each token pair's rank
 to the places where that pair stands in those pieces; ranks are popped in order, and each merge touches only its two
-neighbours. Ids and their decimal text are then looked up for every document. A piece that is itself a token is that
+neighbours. Ids, their decimal text and their bytes are then looked up for every document. A piece that is itself a token is that
 token, as in the tiktoken library. A merge that makes a pair of lower rank puts off the rest of its piece, since the
 library would take the lower rank first.
 """
@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,25 +20,56 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries a worker keeps at most; beyond, it starts anew (only speed depends on it).
-CACHE = 400_000
-_ODD = re.compile(r"\s\s")
-_GAP = re.compile(r"(?<=\S) (?=\S)")
+from .idruns import Classes, IdTable, buffers, flat, groups, lists, runs, strings
+
 _engines: dict[tuple[str, str], MergeReplay] = {}
+#: Bytes that are surely no part of a white space character (Unicode's) that they follow, or begin; and lead bytes of such
+#: characters of two, three and four bytes. A byte left out only makes a longer chunk.
+_byte = np.arange(256)
+_ASCII = (_byte > 0x20) & (_byte < 0x80)
+_TWO, _THREE, _FOUR = (_byte >= 0xC3) & (_byte < 0xE0), (_byte == 0xE0) | (_byte >= 0xE4) & (_byte < 0xF0), _byte >= 0xF0
+_BEGINS = _ASCII | _TWO | _THREE | _FOUR
+
+
+class _Partners:
+    """For a token, the tokens that it merges with on one side, and their merges."""
+
+    def __init__(self, tokens: np.ndarray, partners: np.ndarray, merges: np.ndarray) -> None:
+        order = np.lexsort((partners, tokens))
+        self.partners, self.merges = partners[order], merges[order]
+        self.first = np.searchsorted(tokens[order], np.arange(1 << 17 | 1)).tolist()
+
+    def of(self, token: int, partners: np.ndarray) -> np.ndarray:
+        """The ranks of the merges of token with each, -1 where there is none."""
+        a, b = self.first[token], self.first[token + 1]
+        if a == b:
+            return np.full(len(partners), -1)
+        at = np.minimum(np.searchsorted(self.partners[a:b], partners), b - a - 1) + a
+        return np.where(self.partners[at] == partners, self.merges[at], -1)
+
+
+#: A rank with fewer places is merged place by place, others all at once.
+FEW = 16
 
 
 class MergeReplay:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
-        self.by_text = {str(r): b for b, r in ranks.items()}
         self.pattern = regex.compile(pattern)
         #: id of left << 17 | id of right -> id of their merge, for all splits of all tokens
         self.pairs = {ranks[t[:i]] << 17 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)])
         self.byte_pairs = np.array([[self.pairs.get(int(a) << 17 | int(b), -1) for b in self.byte_ids] for a in self.byte_ids])
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, str] = {}
+        keys, merges = np.array(list(self.pairs), np.int64).reshape(-1), np.array(list(self.pairs.values()), np.int64)
+        left, right = keys >> 17, keys & (1 << 17) - 1
+        self.by_left, self.by_right = _Partners(left, right, merges), _Partners(right, left, merges)
+        self.classes = Classes(regex)
+        self.pieces = IdTable(self.replayed)
+        self.chunks = IdTable(self.joined)
+        top = max(self.bytes_of) + 1
+        self.shown = pa.array([f"{i} ".encode() for i in range(top)], pa.large_binary())
+        self.raw = pa.array([self.bytes_of.get(i) for i in range(top)], pa.large_binary())
 
     @classmethod
     def load(cls, path: str, pattern: str) -> MergeReplay:
@@ -49,35 +79,40 @@ class MergeReplay:
             _engines[path, pattern] = cls(ranks, pattern)
         return _engines[path, pattern]
 
-    def replay(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each piece, by merges in rank order over all pieces at once."""
+    def replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, by merges in rank order over all pieces at once, and the number of ids of each."""
         lengths = np.array([len(x) for x in pieces], np.int64)
         if not lengths.sum():
-            return [()] * len(pieces)
+            return np.zeros(0, np.int64), lengths
         raw = np.frombuffer(b"".join(pieces), np.uint8)
-        n, ends = len(raw), np.cumsum(lengths)
-        starts = ends - lengths
-        owners = np.repeat(np.arange(len(pieces)), lengths)
-        ranks = np.full(n, -1)
-        ranks[:-1] = np.where(owners[1:] == owners[:-1], self.byte_pairs[raw[:-1], raw[1:]], -1)
+        n = len(raw)
+        owner = np.repeat(np.arange(len(pieces)), lengths)
+        inside = owner[1:] == owner[:-1]
+        rank, after, before = np.full((3, n), -1)
+        rank[:-1] = np.where(inside, self.byte_pairs[raw[:-1], raw[1:]], -1)
+        after[:-1] = np.where(inside, np.arange(1, n), -1)
+        before[1:] = np.where(inside, np.arange(n - 1), -1)
+        token = self.byte_ids[raw]
+        tangled = np.zeros(len(pieces), bool)
         # the inverted index: rank of a pair -> the places of its left token
-        places = np.flatnonzero(ranks >= 0)
-        places = places[np.argsort(ranks[places], kind="stable")]
-        keys, first = np.unique(ranks[places], return_index=True)
-        index = dict(zip(keys.tolist(), map(np.ndarray.tolist, np.split(places, first[1:])))) if len(places) else {}
-        heap = list(index)
-        heapq.heapify(heap)
-        token, owner, rank = self.byte_ids[raw].tolist(), owners.tolist(), ranks.tolist()
-        after = np.where(np.r_[owners[1:] == owners[:-1], False], np.arange(1, n + 1), -1).tolist()
-        before = np.where(np.r_[False, owners[1:] == owners[:-1]], np.arange(-1, n - 1), -1).tolist()
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
         merge_of, pop, push = self.pairs.get, heapq.heappop, heapq.heappush
-        while heap:
-            r = pop(heap)
-            todo = index.pop(r, None)
-            if todo is None:
-                continue
-            if len(todo) > 1:
-                todo.sort()
+
+        def note(ranks: np.ndarray, places: np.ndarray) -> None:
+            places, ranks = places[ranks >= 0], ranks[ranks >= 0]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            first = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1]][: len(ranks)])
+            ends = first.tolist()[1:] + [len(ranks)]
+            for r, a, b in zip(ranks[first].tolist(), first.tolist(), ends):
+                if r in index:
+                    index[r].append(places[a:b])
+                else:
+                    index[r] = [places[a:b]]
+                    push(heap, r)
+
+        def one_by_one(r: int, todo: list[int], token, rank, after, before, owner) -> None:
             late: set[int] = set()
             wait: list[int] = []
             for p in todo:
@@ -88,7 +123,7 @@ class MergeReplay:
                     continue
                 q = after[p]
                 token[p] = r
-                rank[q] = -1
+                token[q] = rank[q] = -1
                 after[p] = x = after[q]
                 if x >= 0:
                     before[x] = p
@@ -100,11 +135,11 @@ class MergeReplay:
                 while True:
                     if new >= 0:
                         if new in index:
-                            index[new].append(at)
+                            index[new].append(np.array([at]))
                         elif new == r:
                             wait.append(at)
                         else:
-                            index[new] = [at]
+                            index[new] = [np.array([at])]
                             push(heap, new)
                         if new < r:
                             late.add(owner[p])
@@ -113,66 +148,100 @@ class MergeReplay:
                     new = rank[a] = merge_of(token[a] << 17 | r, -1)
                     at, a = a, -1
             if wait:
-                index[r] = wait
+                index[r] = [np.array(wait)]
                 push(heap, r)
-        out = []
-        single = self.ranks
-        for piece, s, z in zip(pieces, starts.tolist(), lengths.tolist()):
-            if piece in single:
-                out.append((single[piece],))
+
+        views = [memoryview(x) for x in (token, rank, after, before, owner)]
+        note(rank, np.arange(n))
+        while heap:
+            r = pop(heap)
+            todo = index.pop(r, None)
+            if todo is None:
                 continue
-            ids = []
-            s = s if z else -1
-            while s >= 0:
-                ids.append(token[s])
-                s = after[s]
-            out.append(tuple(ids))
-        return out
-
-    def chunked(self, text: str) -> list[str]:
-        """The text cut before each single space between two characters that are not white space: pieces never cross there."""
-        if not text:
-            return []
-        if not _ODD.search(text) and not text[0].isspace() and not text[-1].isspace():
-            parts = text.split(" ")
-        else:
-            parts = _GAP.split(text)
-        return [parts[0], *map(" ".__add__, parts[1:])]
-
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Add to self.chunks the ids, as decimal text, of chunks that it lacks."""
-        new = {c: self.pattern.findall(c) for c in chunks}
-        lack = list({p for ps in new.values() for p in ps} - self.pieces.keys())
-        found = dict(zip(lack, self.replay([p.encode("utf-8", "surrogatepass") for p in lack])))
-        if len(self.pieces) + len(found) > CACHE:
-            kept = {p: self.pieces[p] for ps in new.values() for p in ps if p in self.pieces}
-            self.pieces = kept
-        self.pieces |= found
-        for c, ps in new.items():
-            self.chunks[c] = " ".join([str(i) for p in ps for i in self.pieces[p]])
-
-    def encode_texts(self, texts: list[str]) -> list[str]:
-        """Each text's ids in decimal, joined by one space."""
-        cut = [self.chunked(t) for t in texts]
-        if len(self.chunks) > CACHE:
-            self.chunks = {}
-        lack = {c for cs in cut for c in cs} - self.chunks.keys()
-        if lack:
-            self.learn(lack)
-        get = self.chunks.__getitem__
-        return [" ".join(map(get, cs)) for cs in cut]
+            p = np.concatenate(todo) if len(todo) > 1 else todo[0]
+            if len(p) < FEW:
+                one_by_one(r, sorted(p.tolist()), *views)
+                continue
+            p = np.unique(p[rank[p] == r])
+            q, a = after[p], before[p]
+            x = after[q]
+            right = np.where(x >= 0, self.by_left.of(r, token[x]), -1)
+            left = np.where(a >= 0, self.by_right.of(r, token[a]), -1)
+            # merges that touch each other, or make a pair that is not of a higher rank, depend on their order
+            order = (rank[q] == r) | (x >= 0) & (rank[x] == r) | (right >= 0) & (right <= r) | (left >= 0) & (left <= r)
+            if order.any():
+                owners = owner[p[order]]
+                tangled[owners] = True
+                slow = tangled[owner[p]]
+                tangled[owners] = False
+                one_by_one(r, p[slow].tolist(), *views)
+                p, q, a, x, right, left = (y[~slow] for y in (p, q, a, x, right, left))
+            token[p], token[q], rank[q] = r, -1, -1
+            after[p], before[x[x >= 0]] = x, p[x >= 0]
+            rank[p], rank[a[a >= 0]] = right, left[a >= 0]
+            note(np.r_[right, left], np.r_[p, a])
+        alive = token >= 0
+        return token[alive], np.bincount(owner[alive], minlength=len(pieces))
+
+    def replayed(self, pieces: pa.Array) -> pa.Array:
+        """The ids of each (distinct) piece."""
+        pieces = pieces.to_pylist()
+        whole = np.array([self.ranks.get(p, -1) for p in pieces], np.int64)
+        merged, counts = self.replay([p for p, r in zip(pieces, whole.tolist()) if r < 0])
+        sizes = np.ones(len(pieces), np.int64)
+        sizes[whole < 0] = counts
+        ids = np.repeat(whole, sizes)
+        ids[ids < 0] = merged
+        return lists(ids, np.r_[0, np.cumsum(sizes)])
+
+    def joined(self, chunks: pa.Array) -> pa.Array:
+        """The ids of each (distinct) chunk, those of its pieces one after another."""
+        raw, at = buffers(chunks)
+        cuts, counts = runs(raw, at, self.classes, self.pattern.findall, b"'", False)
+        ids, ends = flat(self.pieces.find(strings(raw, cuts)))
+        return lists(ids, ends[np.r_[0, np.cumsum(counts)]])
+
+    def encode_bytes(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (raw cut at the offsets) and the offsets of each text's in them.
+
+        A text is cut before each single space, and around each single line feed, between two characters that are not
+        white space: pieces never cross there.
+        """
+        n = len(raw)
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
+        cut = np.zeros(n + 1, bool)
+        cut[at] = True
+        for byte in (0x20, 0x0A):
+            i = np.flatnonzero(raw == byte)
+            i = i[~cut[i] & ~cut[i + 1]]
+            ends = _ASCII[raw[i - 1]] | _TWO[raw[i - 2]] | _THREE[raw[i - 3]] | _FOUR[raw[i - 4]]
+            yes = i[_BEGINS[raw[i + 1]] & ends]
+            cut[yes] = True
+            if byte == 0x0A:
+                cut[yes + 1] = True
+        cuts = np.flatnonzero(cut)
+        ids, ends = flat(self.chunks.find(strings(raw, cuts)))
+        return ids, ends[np.searchsorted(cuts, at)]
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for x in self.encode_texts([text])[0].split()]
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_bytes(raw, np.array([0, len(raw)]))[0].tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def decode_text(self, ids: str) -> bytes:
-        return b"".join(map(self.by_text.__getitem__, ids.split()))
+    def digests(self, ids: np.ndarray, at: np.ndarray) -> tuple[list[str], list[str]]:
+        """SHA-256 of the decimal ids, and of the decoded bytes, of each run of ids."""
+        out = []
+        for table, gap in ((self.shown, 1), (self.raw, 0)):
+            data, ends = buffers(table.take(pa.array(ids)))
+            ends = ends[at].tolist()
+            out.append([hashlib.sha256(data[a : max(a, b - gap)]).hexdigest() for a, b in zip(ends, ends[1:])])
+        return out[0], out[1]
 
 
-#: Characters of text that a task encodes at a time.
+#: Bytes of text that a task encodes at a time, at the least.
 GROUP = 8_000_000
 
 
@@ -185,23 +254,14 @@ def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = MergeReplay.load(path, pattern)
         for b in batches:
-            at = 0
-            while at < b.num_rows:
-                texts, chars = [], 0
-                while at + len(texts) < b.num_rows and chars < GROUP:
-                    texts.append(b.column(1)[at + len(texts)].as_py() or "")
-                    chars += len(texts[-1])
-                ids = engine.encode_texts(texts)
-                columns = [b.column(0).slice(at, len(texts)),
-                           pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64()),
-                           pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids], pa.string()),
-                           pa.array([hashlib.sha256(engine.decode_text(x)).hexdigest() for x in ids], pa.string())]
+            for doc_ids, raw, at in groups(b, GROUP):
+                ids, ends = engine.encode_bytes(raw, at)
+                columns = [doc_ids, pa.array(np.diff(ends), pa.int64()), *map(pa.array, engine.digests(ids, ends))]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array([[int(i) for i in x.split()] for x in ids], pa.list_(pa.int32())))
+                    columns.append(lists(ids, ends))
                     names.append("ids")
                 yield pa.record_batch(columns, names)
-                at += len(texts)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
