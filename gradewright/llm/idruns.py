@@ -65,17 +65,18 @@ class IdTable:
     def find(self, values: pa.Array) -> pa.Array:
         coded = values.dictionary_encode()
         distinct = coded.dictionary
-        at = pc.index_in(distinct, value_set=self.keys)
-        if at.null_count:
-            unknown = pc.is_null(at)
-            new = distinct.filter(unknown)
+        at = pc.fill_null(pc.index_in(distinct, value_set=self.keys), -1).to_numpy().copy()
+        unknown = at < 0
+        if unknown.any():
+            new = distinct.filter(pa.array(unknown))
             made = self.make(new)
             if len(self.keys) + len(new) > ENTRIES or self.keys.nbytes + new.nbytes > BYTES:
-                known = at.drop_null()
+                known = pa.array(at[~unknown])
                 self.keys, self.ids = self.keys.take(known), self.ids.take(known)
+                at[~unknown] = np.arange(len(known))
+            at[unknown] = len(self.keys) + np.arange(len(new))
             self.keys, self.ids = pa.concat_arrays([self.keys, new]), pa.concat_arrays([self.ids, made])
-            at = pc.index_in(distinct, value_set=self.keys)
-        return self.ids.take(at.take(coded.indices))
+        return self.ids.take(pa.array(at).take(coded.indices))
 
 
 class Classes:
@@ -107,7 +108,7 @@ def runs(raw: np.ndarray, at: np.ndarray, classes: Classes, findall: Callable[[s
     heads = np.searchsorted(where, at[:-1])  # the first character of each string
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     cls = classes.of(codes)
-    start = np.r_[True, cls[1:] != cls[:-1]]
+    start = np.r_[True, cls[1:] != cls[:-1]][: len(cls)]
     if single_numbers:
         start |= cls == NUMBER
     start[heads] = True

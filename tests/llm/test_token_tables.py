@@ -9,7 +9,7 @@ import pytest
 
 P = pytest.importorskip("public_tokenizers")
 
-from gradewright.llm import bpe  # noqa: E402
+from gradewright.llm import bpe, idruns, packing  # noqa: E402
 
 MARKS = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", " ", " ", " ", "　", "'s", "'t", ".", ",", "$$", "²", "Ⅷ", "́", "\xad", "\x7f", "\x00", "<|"]
 BITS = [*"abcxyzABCéÈßñµ0189жΩ中文한अ𝔘🤖’…", "ing", "onon", "aaaa", "----"]
@@ -25,10 +25,10 @@ def words(n):
     return ["".join(w) for w in itertools.islice(itertools.product(string.ascii_lowercase, repeat=4), n)]
 
 
-def merged(monkeypatch, engine, name):
-    """The number of words that each call of engine.name gets."""
-    counts, inner = [], getattr(engine, name)
-    monkeypatch.setattr(engine, name, lambda w: counts.append(len(w)) or inner(w))
+def merged(monkeypatch, kind, name):
+    """The number of words that each call of kind.name gets."""
+    counts, inner = [], getattr(kind, name)
+    monkeypatch.setattr(kind, name, lambda self, w: counts.append(len(w)) or inner(self, w))
     return counts
 
 
@@ -45,8 +45,8 @@ def test_bpe_drawn(monkeypatch, few):
 
 
 def test_bpe_merges_words_once(monkeypatch):
+    counts = merged(monkeypatch, bpe.MergeReplay, "replay")
     engine = bpe.MergeReplay(bpe.MergeReplay.load(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).ranks, P.PATTERN)
-    counts = merged(monkeypatch, engine, "replay")
     w = words(440_000)
     one, two = [[w[j : j + 1000] for j in range(i, i + 220_000, 1000)] for i in (0, 220_000)]
     for lines in (one, two):
@@ -54,3 +54,25 @@ def test_bpe_merges_words_once(monkeypatch):
     met = sum(counts)
     engine.encode("\n".join(map(" ".join, one)))  # the same words, those that begin a line without their space
     assert met > 400_000 and sum(counts) - met < 220
+
+
+@pytest.mark.parametrize("entries", [1, 300, 10**6])
+def test_packing_drawn(monkeypatch, entries):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    lib, engine = Tokenizer.from_file(path), packing.WordCache(path)
+    monkeypatch.setattr(idruns, "ENTRIES", entries)
+    texts = [*drawn(entries, 60), "a<|end", "oftext|>b", "<|endoftext|>\u0301", "it<|startoftext|>'s", "", "İ K Å <|EndOfText|>", "x" * 5000]
+    for some in (texts, texts[::-1], texts[::3]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in engine.encode(some)] == [lib.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_packing_merges_words_once(monkeypatch):
+    counts = merged(monkeypatch, packing.WordCache, "merge")
+    engine = packing.WordCache(P.path("word_bpe_49k.json"))
+    w = words(440_000)
+    one, two = " ".join(w[:220_000]), " ".join(w[220_000:])
+    for text in (one, two, one):
+        assert len(engine.encode([text])[0]) >= 4 * 220_000
+    assert 440_000 <= sum(counts) < 440_100
