@@ -6,6 +6,7 @@ and only those that the table lacks are tokenised. Texts lie one after another i
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ import pyarrow.compute as pc
 
 #: Strings, and their bytes, that a table keeps at most; beyond, it keeps those of the current call (only speed depends on it).
 ENTRIES, BYTES = 1_500_000, 1 << 27
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
 
 
@@ -54,11 +56,34 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[at[0] : at[-1]], at - at[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system; Arrow's pool and the C library keep it for the worker otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def sliced(make: Callable[[pa.Array], pa.Array], size: int) -> Callable[[pa.Array], pa.Array]:
+    """make, called on `size` bytes of strings at a time (a longer string by itself): its arrays are many times its input."""
+
+    def run(values: pa.Array) -> pa.Array:
+        at = buffers(values)[1]
+        out, first = [], 0
+        while first < len(values):
+            last = max(int(np.searchsorted(at, at[first] + size, "right")) - 1, first + 1)
+            out.append(make(values.slice(first, last - first)))
+            first = last
+        return pa.concat_arrays(out) if out else make(values)
+
+    return run
+
+
 class IdTable:
     """The ids of strings; those of new strings come from make(distinct strings), as lists()."""
 
-    def __init__(self, make: Callable[[pa.Array], pa.Array]) -> None:
-        self.make = make
+    def __init__(self, make: Callable[[pa.Array], pa.Array], entries: float = np.inf, size: float = np.inf) -> None:
+        """entries, size: lower limits of this table than ENTRIES and BYTES."""
+        self.make, self.entries, self.size = make, entries, size
         self.keys = pa.array([], pa.binary())
         self.ids = pa.array([], pa.list_(pa.int32()))
 
@@ -70,7 +95,7 @@ class IdTable:
         if unknown.any():
             new = distinct.filter(pa.array(unknown))
             made = self.make(new)
-            if len(self.keys) + len(new) > ENTRIES or self.keys.nbytes + new.nbytes > BYTES:
+            if len(self.keys) + len(new) > min(ENTRIES, self.entries) or self.keys.nbytes + new.nbytes > min(BYTES, self.size):
                 known = pa.array(at[~unknown])
                 self.keys, self.ids = self.keys.take(known), self.ids.take(known)
                 at[~unknown] = np.arange(len(known))

@@ -21,11 +21,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_bucket, materialize, position_in_group
-from .idruns import Classes, IdTable, buffers, flat, groups, lists, runs, strings
+from .common import batches_of, hash_bucket, materialize, position_in_group
+from .idruns import Classes, IdTable, buffers, flat, groups, lists, release, runs, sliced, strings
 
 CAPACITY = 2048
 NONE = np.int64(1 << 40)
+#: These bound a worker's memory and no result: rows that Spark sends at a time, bytes of texts encoded at a time, bytes
+#: of new strings tokenised at a time (the arrays take about a hundred times that), strings and their bytes in a table.
+ROWS, GROUP, SLICE, ENTRIES, BYTES = 1000, 4_000_000, 1 << 17, 500_000, 1 << 24
 #: The library cuts a text at its special tokens first, in the text as it is.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _SPECIAL = re.compile("|".join(map(re.escape, SPECIAL)).encode())
@@ -64,8 +67,8 @@ class WordCache:
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.first = self.ranks(np.repeat(self.inner, 512), np.tile(np.r_[self.inner, self.final], 256)).reshape(256, 512)
         self.classes = Classes(regex)
-        self.words = IdTable(self.merge)
-        self.parts = IdTable(self.learn)
+        self.words = IdTable(sliced(self.merge, SLICE), ENTRIES, BYTES)
+        self.parts = IdTable(sliced(self.learn, SLICE), ENTRIES, BYTES)
 
     @classmethod
     def load(cls, path: str) -> WordCache:
@@ -179,7 +182,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
         engine = WordCache.load(path)
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
         for b in batches:
-            for doc_ids, raw, at in groups(b, 8_000_000):
+            for doc_ids, raw, at in groups(b, GROUP):
                 ids, ends = engine.encode_bytes(raw, at)
                 ends = ends + np.arange(len(ends))
                 marked = np.zeros(ends[-1], "<u4")
@@ -198,6 +201,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
                 if with_ids:
                     columns.append(lists(marked, np.append(first, ends[-1])))
                 yield pa.record_batch(columns, names)
+                del raw, at, ids, ends, marked, own, data, crc, columns
+                release()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
@@ -300,4 +305,6 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     """The pieces of docs (doc_id, text; further columns are not kept, since a piece is no document) with sequence_id and offset."""
     import public_tokenizers as P
 
-    return packed(materialize(pieces(docs, P.path("word_bpe_49k.json")), "pieces"))
+    with batches_of(docs.sparkSession, ROWS):
+        found = materialize(pieces(docs, P.path("word_bpe_49k.json")), "pieces")
+    return packed(found)

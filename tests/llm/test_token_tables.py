@@ -1,15 +1,18 @@
 """The tokenisers against their libraries on drawn texts, and what they merge a second time."""
 
 import itertools
+import os
 import random
 import string
+import subprocess
+import sys
 
 import numpy as np
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
 
-from gradewright.llm import bpe, idruns, packing  # noqa: E402
+from gradewright.llm import bpe, common, idruns, packing  # noqa: E402
 
 MARKS = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", " ", " ", " ", "　", "'s", "'t", ".", ",", "$$", "²", "Ⅷ", "́", "\xad", "\x7f", "\x00", "<|"]
 BITS = [*"abcxyzABCéÈßñµ0189жΩ中文한अ𝔘🤖’…", "ing", "onon", "aaaa", "----"]
@@ -76,3 +79,49 @@ def test_packing_merges_words_once(monkeypatch):
     for text in (one, two, one):
         assert len(engine.encode([text])[0]) >= 4 * 220_000
     assert 440_000 <= sum(counts) < 440_100
+
+
+@pytest.mark.parametrize("size", [1, 40])
+def test_packing_in_slices(monkeypatch, size):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "SLICE", size)
+    monkeypatch.setattr(packing, "ENTRIES", 50)
+    lib, engine = Tokenizer.from_file(path), packing.WordCache(path)
+    texts = [*drawn(size, 20), "", "x" * 500, " ".join(words(300))]
+    for some in (texts, texts[::-1]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in engine.encode(some)] == [lib.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_packing_memory_of_new_words():
+    """A worker that meets 4 MB of words for the first time; an executor holds two of them beside its JVM."""
+    code = r"""
+import itertools, re, string
+import public_tokenizers as P
+from gradewright.llm import packing
+def peak():
+    return int(re.search(r"VmHWM:\s+(\d+)", open("/proc/self/status").read()).group(1)) // 1024
+engine = packing.WordCache(P.path("word_bpe_49k.json"))
+text = " ".join("".join(w) * 2 for w in itertools.islice(itertools.product(string.ascii_lowercase, repeat=4), 440_000))
+before = peak()
+assert len(engine.encode([text])[0]) > 4 * 440_000
+print(peak() - before)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=120, check=True)
+    assert int(out.stdout) < 200
+
+
+def test_batches_of(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    seen = lambda: spark.range(100, numPartitions=1).mapInArrow(lambda x: (b.slice(0, 1).set_column(0, "n", packing.pa.array([b.num_rows])) for b in x), "n long").collect()
+    with common.batches_of(spark, 30):
+        assert [r.n for r in seen()] == [30, 30, 30, 10]
+        with common.batches_of(spark, 50):
+            assert spark.conf.get(key) == "30"
+    assert spark.conf.get(key) == before
+    with pytest.raises(ValueError), common.batches_of(spark, 30):
+        raise ValueError
+    assert [r.n for r in seen()] == [100]
