@@ -1,17 +1,23 @@
 """Greedy linking of detections to one track a role: state runs from frame to frame, so a role is one ordered group.
 
-A role's detections are bounded by its frames, and groups spread over (rollout_id, role).
+Groups spread over (rollout_id, role) and come sorted; the fold keeps a role's last box and one frame, never the group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Threshold of scores, weight of overlap, leash as a share of the diagonal, misses after which a track is lost.
 THRESHOLD, OVERLAP, LEASH, LOST = 0.3, 0.3, 0.35, 6
+#: Rows of a batch of chosen boxes.
+ROWS = 10_000
 SCHEMA = "rollout_id long, role string, t int, x0 double, y0 double, x1 double, y1 double, score double"
 
 
@@ -52,36 +58,55 @@ class Linker:
         return best
 
 
+def followed(linker: Linker, rows: Iterable[tuple]) -> Iterator[tuple]:
+    """(t, x0, y0, x1, y1, score) of a role in order -> the row that goes on, of each frame that has one."""
+    for t, frame in groupby(rows, itemgetter(0)):
+        hit = linker.step([r[1:6] for r in frame])
+        if hit is not None:
+            yield int(t), *hit
+
+
 def linked_rows(linker: Linker, frames: pd.DataFrame) -> list[tuple]:
     """frames: one role's detections, any order; a frame without any has one row with a null score. Ties take the least box order `k`."""
-    out = []
-    for t, rows in frames.sort_values(["t", "k"]).groupby("t", sort=True):
-        hit = linker.step([tuple(r) for r in rows[["x0", "y0", "x1", "y1", "score"]].itertuples(index=False)])
-        if hit is not None:
-            out.append((int(t), *map(float, hit)))
-    return out
+    d = frames.dropna(subset="t").sort_values(["t", "k"])
+    return list(followed(linker, zip(d["t"].tolist(), *(d[c].astype(float).tolist() for c in ("x0", "y0", "x1", "y1", "score")))))
 
 
-def link(detections: DataFrame, diagonal: float) -> DataFrame:
-    """detections (rollout_id, role, t, k, x0, y0, x1, y1, score) -> the chosen box of each frame that has one."""
+def _columns(b: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch: rollout_id, role and t as they are, then numbers, NaN for null."""
+    return zip(*(c.to_pylist() for c in b.columns[:3]), *(c.to_numpy(zero_copy_only=False).tolist() for c in b.columns[3:]))
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (rollout_id, role, t, boxes, diagonal), a role on end, cut into batches anywhere."""
+    first = next(batches, None)
+    if first is None:
+        return
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    kinds = [first.schema.field(0).type, first.schema.field(1).type, pa.int32(), *[pa.float64()] * 5]
+
+    def hits() -> Iterator[tuple]:
+        for key, rows in groupby(chain.from_iterable(map(_columns, chain([first], batches))), itemgetter(0, 1)):
+            start = next(rows)
+            for hit in followed(Linker(start[8]), (r[2:8] for r in chain([start], rows))):
+                yield *key, *hit
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = linked_rows(Linker(diagonal), rows)
-        return pd.DataFrame([(*key, *r) for r in out], columns=["rollout_id", "role", "t", "x0", "y0", "x1", "y1", "score"])
+    found = hits()
+    while out := list(islice(found, ROWS)):
+        yield pa.record_batch([pa.array(c, k, from_pandas=True) for c, k in zip(zip(*out), kinds)], names)
 
-    return detections.groupBy("rollout_id", "role").applyInPandas(run, SCHEMA)
+
+def link(detections: DataFrame, diagonal: float) -> DataFrame:
+    """detections (rollout_id, role, t, k, x0, y0, x1, y1, score) -> the chosen box of each frame that has one."""
+    return link_each(detections.withColumns({"rollout_id": F.col("rollout_id").cast("long"), "diagonal": F.lit(diagonal)}))
 
 
 def link_each(detections: DataFrame) -> DataFrame:
     """The same where each row brings the diagonal of its rollout; rollout ids are of any type."""
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
     kind = detections.schema["rollout_id"].dataType.simpleString()
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = linked_rows(Linker(float(rows["diagonal"].iloc[0])), rows)
-        return pd.DataFrame([(*key, *r) for r in out], columns=names)
-
-    return detections.groupBy("rollout_id", "role").applyInPandas(run, SCHEMA.replace("rollout_id long", f"rollout_id {kind}"))
+    rows = detections.filter("t is not null").repartition("rollout_id", "role").sortWithinPartitions("rollout_id", "role", "t", F.col("k").asc_nulls_last())
+    rows = rows.select("rollout_id", "role", "t", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "score", "diagonal")])
+    return rows.mapInArrow(_linked, SCHEMA.replace("rollout_id long", f"rollout_id {kind}"))
 
 
 #: A role that brings nothing for so long is closed: its last frame is linked and its state dropped.
